@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, secret_scan, simhash, toxicity, url_filter, warc
+from . import mixing, multi_index, pieces, prefix_forest, secret_scan, simhash, toxicity, url_filter, warc
 from .common import checkpoint_dir, prepare, table
 
 TOKENIZERS = os.environ.get("COHORT_TOKENIZERS", "/opt/tokenizers")
@@ -46,6 +46,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(prepare(spark), sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(prepare(spark), sf_dir, "embeddings"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(prepare(spark), sf_dir, "embeddings")
+    return prefix_forest.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(prepare(spark), sf_dir, "documents"), PIECES)
 
@@ -68,6 +77,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_warc, op3_token_counts, op4_simhash, op5_secrets,
-        op8_sentencepiece, op9_mixing, op10_toxicity,
+        op6_embedding_dedup, op7_nearest, op8_sentencepiece, op9_mixing, op10_toxicity,
     )
 }
+
+#: DuckDB SQL over the same tables, where SQL can say what an operator computes.
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": r"""
+        WITH u AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages
+        ), p AS (
+            SELECT page_id,
+                   coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*'), '') AS path
+            FROM u
+        ), r AS (
+            SELECT *, CASE
+                WHEN regexp_matches(host, '(^|\.)www\.example\.com$') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                WHEN regexp_matches(host, '(^|\.)example\.com$') AND starts_with(path, '/en/') THEN 'example.com/en/'
+                WHEN regexp_matches(host, '(^|\.)net$') AND starts_with(path, '/es/') THEN 'net/es/'
+                WHEN regexp_matches(host, '(^|\.)net$') AND starts_with(path, '/fr/') THEN 'net/fr/'
+                WHEN regexp_matches(host, '(^|\.)com$') AND starts_with(path, '/') THEN 'com/' END AS rule
+            FROM p
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN regexp_matches(host, '(^|[^0-9a-z])(casino|poker|porn|xxx|spam|adserver|doubleclick|viagra|torrent|ads([^0-9a-z].*)?[^0-9a-z]track|free([^0-9a-z].*)?[^0-9a-z]money)($|[^0-9a-z])') THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM r
+    """.replace("\\\\", "\\"),
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS body FROM pages
+        ), m AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS head FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)
+            ), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> head THEN head END AS refers_to
+        FROM m
+    """,
+}
