@@ -136,7 +136,7 @@ def one(df: DataFrame, condition: Condition, key: str | None, now: datetime) ->
 
 def _listed(c: Column, kind: T.DataType, values: Any) -> Column:
     if not isinstance(values, (list, tuple)) or not values:
-        return F.lit(False) & c.isNotNull()
+        return F.when(c.isNotNull(), F.lit(False))  # null stays null, as with a longer list
     if is_number(kind) and all(_number(v) is not None for v in values):
         return c.isin(*[F.lit(str(v)).try_cast(kind) for v in values])
     return as_text(c, kind).isin(*map(_spell, values))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,18 +134,22 @@ def _alike(a: Column, b: Column, df: DataFrame, s: FieldStrategy) -> tuple[Colum
 def keep_apart(df: DataFrame, key: str, column: str, flag: Column, value, rounds: int = UNIQUE_ROUNDS) -> DataFrame:
     """``(pk, value)``: faked values of a unique column, no two alike.
 
-    All rows try the plain value; of rows with the same one, that with the smallest key has it, and the others try again with
-    the next salt against all values given out.  Repeats shrink from round to round; hot values meet in partial
-    ``min`` aggregates, never in one task.  Nulls stay null and take no part.
+    Of rows with the same plain value, that with the smallest key has it; the second tries the first salt, the third the
+    second, and so on.  Rows whose value is taken by then go on to their next salt, against all values given out.  Repeats
+    shrink from round to round; values meet in partial ``min`` aggregates.  Nulls stay null and take no part.
     """
-    todo = materialize(df.where(flag & ref(column).isNotNull()))
+    (salt,) = [n for n in ("salt_", "salt__") if n not in df.columns][:1]
+    rows = df.where(flag & ref(column).isNotNull())
+    same = Window.partitionBy(value(F.lit(0))).orderBy(ref(key))
+    todo = materialize(rows.withColumn(salt, F.row_number().over(same) - 1))
     done: DataFrame | None = None
-    for attempt in range(rounds):
-        tried = todo.select(ref(key).alias("pk"), value(F.lit(attempt)).cast("string").alias("value"))
+    for _ in range(rounds):
+        tried = todo.select(ref(key).alias("pk"), value(ref(salt)).cast("string").alias("value"))
         free = tried if done is None else tried.join(done.select("value"), "value", "left_anti")
         won = materialize(free.groupBy("value").agg(F.min("pk").alias("pk")).select("pk", "value"))
         done = won if done is None else materialize(done.unionByName(won))
-        todo = materialize(todo.join(won.select(F.col("pk").alias("won_")), ref(key) == F.col("won_"), "left_anti"))
+        rest = todo.join(won.select(F.col("pk").alias("won_")), ref(key) == F.col("won_"), "left_anti")
+        todo = materialize(rest.withColumn(salt, ref(salt) + 1))
         if todo.isEmpty():
             return done
     raise SpecError(f"{column}: the generator has too few values to keep {todo.count()} rows of a unique column apart")
