@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs
@@ -169,25 +169,28 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
         a, z = np.searchsorted(keys, q["lo"].to_numpy()), np.searchsorted(keys, q["hi"].to_numpy())
         rows = []
         for r, qid in enumerate(q["id"]):
-            own = ids[a[r] : z[r]]
-            score = x[a[r] : z[r]] @ y[r]
-            score = np.where(own == qid, -np.inf, score)
+            own, score = ids[a[r] : z[r]], x[a[r] : z[r]] @ y[r]
+            score[own == qid] = -np.inf
             if len(own) > k + 1:
-                top = np.argpartition(-score, k)[: k + 1]
-                edge = score[top].min()
-                top = np.flatnonzero(score >= edge)  # all that tie at the edge
-                own, score = own[top], score[top]
-            top = [t for t in np.lexsort((own, -score))[:k] if score[t] > -np.inf]
-            if top:
-                rows.append((qid, own[top].tolist(), score[top].tolist()))
-        return pd.DataFrame(rows, columns=["q", "ids", "scores"])
-
-    found = block_pairs(sent, members, SHARD_ROWS).groupBy("key", "block").applyInPandas(best_of_shard, "q long, ids array<long>, scores array<double>")
-    each = found.select("q", F.explode(F.arrays_zip("ids", "scores")).alias("c")).select("q", F.col("c.ids").alias("id"), F.col("c.scores").alias("score"))
-    # the same vector from several trees is one candidate
-    once = each.groupBy("q", "id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
+                # the matrix product rounds as its shape goes: all within that of the k-th best are scored again
+                edge = np.partition(score, -k)[-k]
+                near = np.flatnonzero(score >= edge - 1e-9 * (1 + abs(edge)))
+            else:
+                near = np.arange(len(own))
+            near = near[score[near] > -np.inf]
+            exact = (x[a[r] + near] * y[r]).sum(axis=1)
+            top = np.lexsort((own[near], -exact))[:k]
+            if len(top):
+                rows.append((qid, int(group["key"].iloc[0]), [{"s": -exact[t], "id": own[near[t]]} for t in top]))
+        return pd.DataFrame(rows, columns=["q", "part", "best"])
+
+    found = block_pairs(sent, members, SHARD_ROWS).groupBy("key", "block").applyInPandas(best_of_shard, "q long, part long, best array<struct<s: double, id: bigint>>")
+    # lists of k meet in two steps, so that no group holds more than the root of the number of shards
+    fan = max(1, int(np.sqrt(TREES * (shard.max() + 1))))
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best")
+    merged = found.groupBy("q", F.pmod(F.xxhash64("part"), F.lit(fan)).alias("some")).agg(best).groupBy("q").agg(best)
+    ranked = merged.select("q", F.posexplode("best").alias("at", "c"))
+    return ranked.select(F.col("q").alias("query_id"), (F.col("at") + 1).alias("rank"), F.col("c.id").alias(id_col), (-F.col("c.s")).alias("score"))
 
 
 def _ascend(h: np.ndarray, up: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
