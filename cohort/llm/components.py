@@ -1,7 +1,7 @@
 """Connected components by repeated contraction, as DataFrame joins and aggregations.
 
 Each round points every node at the smallest node among itself and its neighbours, follows those
-pointers twice, and replaces the edges by the edges between the nodes pointed at.  Only local minima
+pointers to their ends, and replaces the edges by the edges between the nodes reached.  Only local minima
 survive a round, so edges and nodes shrink geometrically; the rounds' small pointer tables are joined
 back in reverse order.  No link or label leaves the cluster; the driver sees only "any edges left?".
 A hot node is never gathered: its neighbours meet in partial ``min`` aggregates and in joins that
@@ -34,14 +34,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if len(rounds) == MAX_ROUNDS:
             raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpointed(
+        pointers = checkpointed(
             both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
             .select("node", F.least("node", "m").alias("to"))
         )
-        hop = least.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        jumped = checkpointed(
-            least.join(hop, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
-        )
+        # pointers only go down, so doubling ends at local minima after log(longest way) steps
+        moving = True
+        while moving:
+            ahead = pointers.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            step = checkpointed(pointers.join(ahead, "to").select("node", F.col("next").alias("to"), (F.col("next") < F.col("to")).alias("moved")))
+            pointers, moving = step.select("node", "to"), not step.where("moved").isEmpty()
+        jumped = pointers
         rounds.append(jumped)
         at_a = jumped.select(F.col("node").alias("a"), F.col("to").alias("ra"))
         at_b = jumped.select(F.col("node").alias("b"), F.col("to").alias("rb"))

@@ -92,8 +92,8 @@ def test_keep_one(spark):
 
 def test_repeats_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, "x"), (None, None), (7, "x"), (7, "x")], "doc_id long, text string")
-    got = sorted((str(r.doc_id), r.component_id) for r in simhash.simhash_components(df).collect())
-    assert got == [("7", 7), ("7", 7), ("None", 7), ("None", None)]
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.simhash_components(df).collect())
+    assert got == [("7", "7"), ("7", "7"), ("None", "7"), ("None", "None")]
     assert simhash.simhash_components(df.limit(0)).count() == 0
     assert simhash.keep_one_per_component(df.limit(0)).count() == 0
 
