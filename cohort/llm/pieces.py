@@ -31,7 +31,7 @@ from .common import ref
 
 MARK = "\u2581"
 #: Chunks that a Python worker remembers in each of two generations (some 200 bytes a chunk).
-MEMO = 300_000
+MEMO = 60_000
 #: Longer chunks are solved each time.
 MEMO_CHARS = 48
 #: An unknown character's unigram score: the lowest score less this.

@@ -87,7 +87,7 @@ def features_of(text: str | None, learned: dict[str, float], memo: dict[str, flo
         known = memo.get(w)
         if known is None:
             known = max((learned[s] for s in stems(w) if s in learned), default=0.0) + 100.0 * (w in INSULTS) + 1000.0 * (w in SECOND_PERSON)
-            if len(memo) < 200_000:
+            if len(memo) < 50_000:
                 memo[w] = known
         if known:
             if known >= 1000.0:
