@@ -138,7 +138,7 @@ def keep_apart(df: DataFrame, key: str, column: str, flag: Column, value, rounds
     second, and so on.  Rows whose value is taken by then go on to their next salt, against all values given out.  Repeats
     shrink from round to round; values meet in partial ``min`` aggregates.  Nulls stay null and take no part.
     """
-    (salt,) = [n for n in ("salt_", "salt__") if n not in df.columns][:1]
+    salt = f"salt {column}"
     rows = df.where(flag & ref(column).isNotNull())
     same = Window.partitionBy(value(F.lit(0))).orderBy(ref(key))
     todo = materialize(rows.withColumn(salt, F.row_number().over(same) - 1))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, SubsetSpec
-from ..common import column_type, materialize, ref
+from ..common import materialize, ref
 from ..operators.anonymize import anonymize, country_of, declared_identity, entity_countries
 from ..operators.links import detect_links, link_rows
 from ..operators.policy import check_policies, null_dangling
@@ -112,8 +112,3 @@ def nulled_counts(result: Subset, tables: Mapping[str, DataFrame], catalog: Cata
             n = after.agg(F.count_if(F.col(f"`had {c}`") & ref(c).isNull()).alias("nulled"))
             parts.append(n.select(F.lit(f"{name}.{c}").alias("column"), "nulled"))
     return reduce(DataFrame.unionByName, parts) if parts else None
-
-
-def key_types(tables: Mapping[str, DataFrame], catalog: Catalog) -> dict[str, str]:
-    """Type of each table's key, for reports."""
-    return {n: column_type(df, catalog.key(n)).simpleString() for n, df in tables.items() if catalog.key(n)}
