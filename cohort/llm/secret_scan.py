@@ -42,6 +42,9 @@ _ESCAPE = re.compile(
 #: Shortest base64 run that is unwrapped; shorter ones cannot hold an assignment with a value.
 MIN_BASE64 = 16
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Stretches of decoded bytes that are scanned, and their bytes a character (UTF-8, UTF-16).  Secrets and wrappings are ASCII and no
+#: shorter, so what else stands in the layer (other letters, marks, binary bytes) neither hides nor makes one.
+_STRETCHES = ((re.compile(rb"[\t\n\r\x20-\x7e]{12,}"), 1), (re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){11,}[\t\n\r\x20-\x7e]"), 2))
 #: A compressed layer that unpacks to more than this is read up to here: a guard against decompression bombs.
 MAX_UNPACKED = 1 << 26
 
@@ -174,8 +177,11 @@ def uncompressed(raw: bytes) -> bytes | None:
     return None
 
 
-def _is_text(chars: list[tuple[str, int, int]] | None) -> bool:
-    return bool(chars) and all(c.isprintable() or c in "\t\n\r" for c, _, _ in chars)
+def _texts(raw: bytes) -> Iterator[tuple[str, range]]:
+    """Stretches of text in bytes, each with the places of its characters' bytes."""
+    for pattern, step in _STRETCHES:
+        for m in pattern.finditer(raw):
+            yield m[0][::step].decode("ascii"), range(m.start(), m.end(), step)
 
 
 def _unbase64(layer: Layer) -> Iterator[Layer]:
@@ -192,14 +198,12 @@ def _unbase64(layer: Layer) -> Iterator[Layer]:
         depth = 0
         while (inner := uncompressed(raw)) is not None and inner and depth < 64:
             raw, depth = inner, depth + 1
-        if depth:
-            text = raw.decode("utf-8", "replace")
-            yield Layer(text, [a] * len(text), [z] * len(text))
-        elif _is_text(chars := _utf8_chars(raw)):
-            b = _Builder(layer)
-            for c, i, j in chars:  # three bytes of content to four characters
-                b.put(c, m.start() + i * 4 // 3, min(m.start() + (j * 4 + 2) // 3, m.end()))
-            yield from b.layer()
+        for text, at in _texts(raw):
+            if depth:
+                yield Layer(text, [a] * len(text), [z] * len(text))
+            else:  # three bytes of content to four characters
+                starts = [layer.starts[m.start() + i * 4 // 3] for i in at]
+                yield Layer(text, starts, [layer.ends[min(m.start() + (i * 4 + 6) // 3, m.end()) - 1] for i in at])
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

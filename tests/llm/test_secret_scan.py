@@ -90,6 +90,16 @@ def test_same_secret_twice_and_cycles():
     assert s.all_spans("%2525252541", []) == []
 
 
+@pytest.mark.parametrize("wrap", [
+    lambda t: b"\xef\xbb\xbf" + t, lambda t: "a\u00a0b\u3000c\u200d\u00ad\f\0 ".encode() + t, lambda t: t + b" \xff", lambda t: b"\x80\x81" + t + b"\0\0",
+    lambda t: t.decode().encode("utf-16"), lambda t: t.decode().encode("utf-16-be"), lambda t: gzip.compress(t.decode().encode("utf-16-le")),
+])
+def test_layers_that_are_not_all_text(wrap):
+    text = f"go {b64(wrap(b'say ' + SECRET.encode() + b' end'))} on"
+    (a, kind, z), = s.all_spans(text, [])
+    assert kind == 0 and 3 <= a < z <= len(text) - 3
+
+
 def test_frames(spark):
     rows = [(1, SECRET, "en", 0), (1, SECRET, "en", 0), (None, None, None, None), (2, "", "x", 0), (3, "clean text", "x", 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
