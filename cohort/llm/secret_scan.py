@@ -10,7 +10,6 @@ of the original text that it came from, so secrets in any depth map back to the
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import io
@@ -41,10 +40,20 @@ _ESCAPE = re.compile(
 )
 #: Shortest base64 run that is unwrapped; shorter ones cannot hold an assignment with a value.
 MIN_BASE64 = 16
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BREAK = r"[\x20\t]*\r?\n[\x20\t]*"
+_WORD = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Whole words, joined over single line ends: base64 may be wrapped at any width.
+_BASE64 = re.compile(
+    rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+|[A-Za-z0-9+/_-]++(?={_BREAK}[A-Za-z0-9+/_-]))(?:{_BREAK}[A-Za-z0-9+/_-]++)*+={{0,2}}"
+)
+#: What a path, a prefix or a suffix leaves of a run.
+_PART = re.compile(r"[A-Za-z0-9]{16,}")
+_STANDARD = str.maketrans("-_", "+/")
 #: Stretches of decoded bytes that are scanned, and their bytes a character (UTF-8, UTF-16).  Secrets and wrappings are ASCII and no
 #: shorter, so what else stands in the layer (other letters, marks, binary bytes) neither hides nor makes one.
 _STRETCHES = ((re.compile(rb"[\t\n\r\x20-\x7e]{12,}"), 1), (re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){11,}[\t\n\r\x20-\x7e]"), 2))
+#: Heads of gzip, zlib, bzip2, xz and zstd.
+_MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 #: A compressed layer that unpacks to more than this is read up to here: a guard against decompression bombs.
 MAX_UNPACKED = 1 << 26
 
@@ -184,26 +193,40 @@ def _texts(raw: bytes) -> Iterator[tuple[str, range]]:
             yield m[0][::step].decode("ascii"), range(m.start(), m.end(), step)
 
 
-def _unbase64(layer: Layer) -> Iterator[Layer]:
-    if not any(len(w) >= MIN_BASE64 for w in layer.text.split()):
-        return
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
+def _coded(text: str) -> Iterator[tuple[str, list[int] | range, int]]:
+    """Base64 runs, the places of their characters, and at how many offsets to read them.
+
+    A run joins the words of neighbouring lines and is read at all four offsets, so what stands before the code cannot
+    shift it.  Lines and parts between marks are read on their own, too, as a run takes their ends for part of what follows.
+    """
+    for m in _BASE64.finditer(text):
+        words = [w.span() for w in _WORD.finditer(text, m.start(), m.end())]
+        at = range(*words[0]) if len(words) == 1 else [i for a, z in words for i in range(a, z)]
+        if len(at) < MIN_BASE64:
             continue
-        a, z = layer.starts[m.start()], layer.ends[m.end() - 1]
-        depth = 0
-        while (inner := uncompressed(raw)) is not None and inner and depth < 64:
-            raw, depth = inner, depth + 1
-        for text, at in _texts(raw):
-            if depth:
-                yield Layer(text, [a] * len(text), [z] * len(text))
-            else:  # three bytes of content to four characters
-                starts = [layer.starts[m.start() + i * 4 // 3] for i in at]
-                yield Layer(text, starts, [layer.ends[min(m.start() + (i * 4 + 6) // 3, m.end()) - 1] for i in at])
+        yield (run := "".join(text[a:z] for a, z in words)), at, 4
+        pieces = {p.span() for a, z in words for p in _PART.finditer(text, a, z)} | {(a, z) for a, z in words if z - a >= MIN_BASE64}
+        yield from ((text[a:z], range(a, z), 1) for a, z in sorted(pieces) if z - a < len(run))
+
+
+def _unbase64(layer: Layer) -> Iterator[Layer]:
+    for run, at, offsets in _coded(layer.text):
+        run = run.translate(_STANDARD)
+        for skip in range(offsets):
+            n = len(run) - skip
+            n -= n % 4 == 1
+            raw = base64.b64decode(run[skip : skip + n] + "=" * (-n % 4))
+            for text, places in _texts(raw):  # three bytes of content to four characters
+                starts = [layer.starts[at[skip + i * 4 // 3]] for i in places]
+                yield Layer(text, starts, [layer.ends[at[skip + min((i * 4 + 6) // 3, n) - 1]] for i in places])
+            for m in _MAGIC.finditer(raw):
+                a, z = layer.starts[at[skip + m.start() * 4 // 3]], layer.ends[at[-1]]
+                inner, depth = raw[m.start() :], 0
+                while (unpacked := uncompressed(inner)) and depth < 64:
+                    inner, depth = unpacked, depth + 1
+                if depth:
+                    for text, _ in _texts(inner):
+                        yield Layer(text, [a] * len(text), [z] * len(text))
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -100,6 +100,30 @@ def test_layers_that_are_not_all_text(wrap):
     assert kind == 0 and 3 <= a < z <= len(text) - 3
 
 
+@pytest.mark.parametrize("width", [5, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, lzma.compress])
+def test_wrapped_base64(width, end, pack):
+    filler = " ".join(hashlib.sha256(bytes([i])).hexdigest()[:20] for i in range(40)).encode()
+    coded = b64(pack(filler + b" " + SECRET.encode() + b" " + filler))
+    hidden = end.join(coded[i : i + width] for i in range(0, len(coded), width))
+    text = f"see the words\n{hidden}\n\nafter"
+    assert any(k == 0 and 0 < a < z <= len(text) - 7 for a, k, z in s.all_spans(text, []))
+
+
+@pytest.mark.parametrize("before", ["https://x.com/reset/", "https://x.com/a/", "id-", "a_b-", "+", "k/v+w_"])
+@pytest.mark.parametrize("after", ["", "/confirm", "-x", "_", "/"])
+@pytest.mark.parametrize("pack", [bytes, zlib.compress])
+def test_base64_behind_other_characters(before, after, pack):
+    for pad in range(3):
+        hidden = base64.urlsafe_b64encode(pack(b"password=abcdef" + b"g" * pad)).decode().rstrip("=")
+        text = f"go {before}{hidden}{after} on"
+        lo = text.index(hidden)
+        found = s.all_spans(text, [])
+        assert any(k == 0 and lo <= a < z and z >= lo + len(hidden) for a, k, z in found), (text, found)
+        assert hidden not in s.redacted(text, "[S]")
+
+
 def test_frames(spark):
     rows = [(1, SECRET, "en", 0), (1, SECRET, "en", 0), (None, None, None, None), (2, "", "x", 0), (3, "clean text", "x", 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
