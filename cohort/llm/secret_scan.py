@@ -2,7 +2,7 @@
 
 The base scan finds assignments, access keys and long hex runs in a text.  The worklist then unwraps what the text may
 hide: percent-encoding, Unicode escapes (``\\uXXXX``, ``\\xXX``, ``&#N;``), base64 runs, and compressed bytes inside
-base64 (gzip, zlib, bzip2, xz, zstd).  Every layer is scanned and unwrapped again until nothing new appears; a layer that was
+any of them (gzip, zlib, bzip2, xz, zstd).  Every layer is scanned and unwrapped again until nothing new appears; a layer that was
 seen at the same place is not taken up again, which ends cycles.  Each layer keeps, for every character, the span
 of the original text that it came from, so secrets in any depth map back to the original text.
 """
@@ -12,13 +12,14 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
-import io
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 import zstandard
@@ -54,8 +55,20 @@ _STANDARD = str.maketrans("-_", "+/")
 _STRETCHES = ((re.compile(rb"[\t\n\r\x20-\x7e]{12,}"), 1), (re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){11,}[\t\n\r\x20-\x7e]"), 2))
 #: Heads of gzip, zlib, bzip2, xz and zstd.
 _MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
-#: A compressed layer that unpacks to more than this is read up to here: a guard against decompression bombs.
-MAX_UNPACKED = 1 << 26
+_FAULTS = (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError)
+#: Unpacked content is scanned in pieces of about this size, so that memory holds little of it, however much there is.
+PIECE = 1 << 22
+#: Pieces end behind a character of no secret or wrapping; if there is none, the next piece repeats so many bytes.
+OVERLAP = 1 << 20
+_MARK = re.compile(rb"(?s:.*)[^A-Za-z0-9+/_.=\-\"':\x20\t\r\n%\\&#;{}\0]")
+#: Compressed bytes to hand over at once.
+_SLICE = 256
+#: Stretches that spell bytes, what makes them worth reading as bytes, and their units.
+_SPELT = (
+    (re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+"), re.compile(r"%[0189A-Fa-f]"), re.compile(r"(?s)%(..)|(.)")),
+    (re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0'"\\]|[\x20-\[\]-~])+"""), re.compile(r"\\x[0189A-Fa-f]"), re.compile(r"(?s)\\x(..)|\\?(.)")),
+)
+_LETTERS = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -105,18 +118,14 @@ class _Builder:
             yield Layer("".join(self.parts), self.starts, self.ends)
 
 
-def _utf8_chars(raw: bytes) -> list[tuple[str, int, int]] | None:
-    """Characters with their byte spans, None if the bytes are not UTF-8."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        out.append((c, at, at + n))
+def _utf8_chars(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """Characters with their byte spans; each byte that is not UTF-8 gives a replacement character."""
+    at = 0
+    for c in raw.decode("utf-8", "surrogateescape"):
+        bad = "\udc80" <= c <= "\udcff"
+        n = 1 if bad else len(c.encode("utf-8"))
+        yield "\ufffd" if bad else c, at, at + n
         at += n
-    return out
 
 
 def _unpercent(layer: Layer) -> Iterator[Layer]:
@@ -124,11 +133,8 @@ def _unpercent(layer: Layer) -> Iterator[Layer]:
         return
     b, at = _Builder(layer), 0
     for m in _PERCENT.finditer(layer.text):
-        chars = _utf8_chars(bytes.fromhex(m[0].replace("%", "")))
-        if chars is None:
-            continue
         b.copy(at, m.start())
-        for c, i, j in chars:
+        for c, i, j in _utf8_chars(bytes.fromhex(m[0].replace("%", ""))):
             b.put(c, m.start() + 3 * i, m.start() + 3 * j)
         at = m.end()
     b.copy(at, len(layer.text))
@@ -153,39 +159,112 @@ def _unescape(layer: Layer) -> Iterator[Layer]:
     yield from b.layer()
 
 
-def _read_up_to(stream) -> bytes:
-    """What a stream gives before its end, its first fault or the bound."""
-    out = io.BytesIO()
-    try:
-        while out.tell() < MAX_UNPACKED and (part := stream.read(1 << 16)):
-            out.write(part)
-    except (OSError, EOFError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
-        pass
-    return out.getvalue()
+def _reader(raw: bytes | mmap.mmap, at: int):
+    if raw[at] == 0x1F or raw[at] == 0x78:
+        return zlib.decompressobj(31 if raw[at] == 0x1F else 15)
+    if raw[at] == 0x42:
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(lzma.FORMAT_XZ) if raw[at] == 0xFD else zstandard.ZstdDecompressor().decompressobj()
+
+
+def _steps(raw: bytes | mmap.mmap, at: int, fine_from: float) -> Generator[bytes, None, int | None]:
+    """What the member at ``at`` unpacks to, by the byte from ``fine_from``; returns its end, None if the input ends before."""
+    d, inflates, hungry, left, done = _reader(raw, at), raw[at] in b"\x1f\x78", True, b"", 0
+    while not d.eof:
+        most = 1 if done >= fine_from else 1 << 16
+        if hungry:
+            left = raw[at : at + (1 if most == 1 else _SLICE)]
+            at += len(left)
+            if not left:
+                return None
+        if inflates:
+            out = d.decompress(left, most)
+            left = d.unconsumed_tail
+            hungry = not left and len(out) < most
+        elif hasattr(d, "needs_input"):
+            out = d.decompress(left, most)
+            hungry, left = d.needs_input, b""
+        else:
+            out = d.decompress(left)
+        done += len(out)
+        yield out
+    return at - len(d.unused_data)
 
 
-def _inflate(raw: bytes, window: int) -> bytes:
+def _member(raw: bytes | mmap.mmap, at: int) -> Generator[bytes, None, int | None]:
+    """What the member at ``at`` unpacks to before its end or first fault; returns its end, None without one."""
+    done = 0
+    try:
+        steps = _steps(raw, at, float("inf"))
+        while True:
+            out = next(steps)
+            done += len(out)
+            yield out
+    except StopIteration as end:
+        return end.value
+    except _FAULTS:
+        pass
+    again = 0  # the call that failed gave nothing: once more, by the byte from there
     try:
-        return zlib.decompressobj(window).decompress(raw, MAX_UNPACKED)
-    except zlib.error:
-        return b""
-
-
-def uncompressed(raw: bytes) -> bytes | None:
-    """The content of compressed bytes, None if they are not compressed."""
-    if raw[:2] == b"\x1f\x8b":
-        return _inflate(raw, 31)
-    if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        return _inflate(raw, 15)
-    if raw[:3] == b"BZh":
-        return _read_up_to(bz2.BZ2File(io.BytesIO(raw)))
-    if raw[:6] == b"\xfd7zXZ\0":
-        return _read_up_to(lzma.LZMAFile(io.BytesIO(raw)))
-    if raw[:4] == b"\x28\xb5\x2f\xfd":
-        return _read_up_to(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw)))
+        for out in _steps(raw, at, done):
+            again += len(out)
+            if again > done:
+                yield out[max(0, len(out) - again + done) :]
+    except _FAULTS:
+        pass
     return None
 
 
+def _members(raw: bytes | mmap.mmap, at: int, ends: list[int]) -> Iterator[bytes]:
+    """The content of the member at ``at`` and of those that follow at once; ``ends`` gets the place to go on from."""
+    while True:
+        after = yield from _member(raw, at)
+        ends.append(at + 2 if after is None else after)
+        if after is None:
+            return
+        while raw[after : after + 1] == b"\0":
+            after += 1
+        if not _MAGIC.match(raw, after):
+            return
+        at = after
+
+
+def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
+    have = bytearray()
+    for part in parts:
+        have += part
+        if len(have) >= PIECE:
+            m = _MARK.match(have, PIECE // 2)
+            cut = m.end() if m else len(have)
+            yield bytes(have[:cut])
+            del have[: cut if m else cut - OVERLAP]
+    if have:
+        yield bytes(have)
+
+
+def unpacked(raw: bytes | mmap.mmap, depth: int = 0) -> Iterator[tuple[int, bytes]]:
+    """Pieces of the content of all compressed streams in ``raw``, however often compressed, with the streams' places."""
+    at = 0
+    while depth < 64 and (m := _MAGIC.search(raw, at)):
+        ends = [m.start() + 2]
+        parts = _members(raw, m.start(), ends)
+        head = b""
+        while len(head) < 6 and (part := next(parts, None)) is not None:
+            head += part
+        whole = chain((head,), parts)
+        if _MAGIC.match(head):  # compressed twice: the inner stream is not cut
+            with tempfile.TemporaryFile() as f:
+                f.writelines(whole)
+                f.flush()
+                with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as inner:
+                    yield from ((m.start(), piece) for _, piece in unpacked(inner, depth + 1))
+        else:
+            for piece in _pieces(whole):
+                yield m.start(), piece
+                yield from ((m.start(), inner) for _, inner in unpacked(piece, depth + 1))
+        at = ends[-1]
+
+
 def _texts(raw: bytes) -> Iterator[tuple[str, range]]:
     """Stretches of text in bytes, each with the places of its characters' bytes."""
     for pattern, step in _STRETCHES:
@@ -219,28 +298,48 @@ def _unbase64(layer: Layer) -> Iterator[Layer]:
             for text, places in _texts(raw):  # three bytes of content to four characters
                 starts = [layer.starts[at[skip + i * 4 // 3]] for i in places]
                 yield Layer(text, starts, [layer.ends[at[skip + min((i * 4 + 6) // 3, n) - 1]] for i in places])
-            for m in _MAGIC.finditer(raw):
-                a, z = layer.starts[at[skip + m.start() * 4 // 3]], layer.ends[at[-1]]
-                inner, depth = raw[m.start() :], 0
-                while (unpacked := uncompressed(inner)) and depth < 64:
-                    inner, depth = unpacked, depth + 1
-                if depth:
-                    for text, _ in _texts(inner):
-                        yield Layer(text, [a] * len(text), [z] * len(text))
+            z = layer.ends[at[-1]]
+            for place, piece in unpacked(raw):
+                a = layer.starts[at[skip + place * 4 // 3]]
+                for text, _ in _texts(piece):
+                    yield Layer(text, [a] * len(text), [z] * len(text))
+
+
+def _unspell(layer: Layer) -> Iterator[Layer]:
+    """Content of bytes that are spelt as ``%XX`` or ``\\xXX`` between plain characters: compressed, or UTF-16."""
+    for stretch, binary, unit in _SPELT:
+        if not binary.search(layer.text):
+            continue
+        for m in stretch.finditer(layer.text):
+            if not binary.search(m[0]):
+                continue
+            units = list(unit.finditer(layer.text, m.start(), m.end()))
+            raw = bytes(int(u[1], 16) if u[1] else _LETTERS.get(u[2], ord(u[2])) if len(u[0]) > 1 else ord(u[2]) for u in units)
+            for text, at in _texts(raw):
+                yield Layer(text, [layer.starts[units[i].start()] for i in at], [layer.ends[units[i].end() - 1] for i in at])
+            z = layer.ends[m.end() - 1]
+            for place, piece in unpacked(raw):
+                a = layer.starts[units[place].start()]
+                for text, _ in _texts(piece):
+                    yield Layer(text, [a] * len(text), [z] * len(text))
+
+
+def _unwrapped(layer: Layer) -> Iterator[Layer]:
+    for unwrap in (_unpercent, _unescape, _unspell, _unbase64):
+        yield from unwrap(layer)
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans and those of all decoded layers, mapped to the original text; sorted, without repeats."""
     found, seen = set(base), set()
-    work = deque([Layer(text, range(len(text)), range(1, len(text) + 1))])
-    while work:
-        layer = work.popleft()
-        for unwrap in (_unpercent, _unescape, _unbase64):
-            for inner in unwrap(layer):
-                if (k := inner.key()) not in seen:
-                    seen.add(k)
-                    found.update((inner.starts[s], k_, inner.ends[e - 1]) for s, k_, e in base_spans(inner.text))
-                    work.append(inner)
+    work = [_unwrapped(Layer(text, range(len(text)), range(1, len(text) + 1)))]
+    while work:  # inner layers first: only those on the way are held
+        if (inner := next(work[-1], None)) is None:
+            work.pop()
+        elif (k := inner.key()) not in seen:
+            seen.add(k)
+            found.update((inner.starts[s], k_, inner.ends[e - 1]) for s, k_, e in base_spans(inner.text))
+            work.append(_unwrapped(inner))
     return sorted(found)
 
 

@@ -124,6 +124,57 @@ def test_base64_behind_other_characters(before, after, pack):
         assert hidden not in s.redacted(text, "[S]")
 
 
+FILLER = b" ".join(hashlib.sha256(bytes([i % 256, i // 256])).hexdigest()[:20].encode() for i in range(500))
+PACKS = {"gzip": gzip.compress, "zlib": zlib.compress, "bzip2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}
+
+
+def kinds(text):
+    return {k for _, k, _ in s.all_spans(text, [])}
+
+
+@pytest.mark.parametrize("pack", PACKS.values(), ids=PACKS)
+def test_all_members(pack):
+    say = SECRET.encode()
+    assert 0 in kinds(b64(pack(FILLER) + pack(say))) and 0 in kinds(b64(pack(FILLER) + pack(say[:9]) + pack(say[9:])))
+    assert 0 in kinds(b64(pack(pack(FILLER) + pack(b"") + pack(say)) + b"tail"))
+
+
+@pytest.mark.parametrize("pack", PACKS.values(), ids=PACKS)
+def test_output_before_a_fault(pack):
+    assert 0 in kinds(b64(pack(FILLER + SECRET.encode() + b" end") + pack(b"x" * 99)[:-3]))
+    if pack in (gzip.compress, zlib.compress):  # others check blocks, or end with an index
+        raw = pack(SECRET.encode() + b" " + FILLER)
+        assert 0 in kinds(b64(raw[:-4] + b"\0\1\2\3")) and 0 in kinds(b64(raw[:3000] + b"\xff" * 40 + raw[3040:]))
+
+
+@pytest.mark.parametrize("letter", [b"\0", b"ab, "])
+def test_large_content(letter):
+    body = letter * ((66 << 20) // len(letter))
+    assert kinds(b64(gzip.compress(body + b" " + SECRET.encode(), 1))) == {0}
+
+
+def test_pieces_join(monkeypatch):
+    monkeypatch.setattr(s, "PIECE", 1000)
+    monkeypatch.setattr(s, "OVERLAP", 300)
+    inner = b64(gzip.compress(SECRET.encode())).encode()
+    for n in range(900, 1100, 7):
+        assert 0 in kinds(b64(gzip.compress(b"z" * n + b" " + SECRET.encode() + b" " + b"y" * 3000)))
+        assert 0 in kinds(b64(gzip.compress(b"(z) " * (n // 4) + inner + b" (y)" * 3000)))
+
+
+@pytest.mark.parametrize("pack", PACKS.values(), ids=PACKS)
+@pytest.mark.parametrize("spell", [
+    lambda raw: "".join(f"%{b:02X}" for b in raw), urllib.parse.quote_from_bytes, lambda raw: "".join(f"\\x{b:02x}" for b in raw), repr,
+])
+def test_spelt_bytes(spell, pack):
+    assert kinds(f"go {spell(pack(b'say ' + SECRET.encode()))} on") == {0}
+
+
+def test_percent_with_bytes_that_are_not_utf8():
+    text = "x " + "".join(f"%{b:02X}" for b in "caf\u00e9 ".encode("latin-1") + SECRET.encode()) + " y"
+    assert kinds(text) == {0} and "61%62%63" not in s.redacted(text, "[S]")
+
+
 def test_frames(spark):
     rows = [(1, SECRET, "en", 0), (1, SECRET, "en", 0), (None, None, None, None), (2, "", "x", 0), (3, "clean text", "x", 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
