@@ -264,7 +264,7 @@ class Vocabulary:
         return length_at, id_at
 
     def _count(self, chunk: str) -> int:
-        """As ``_solve``, with the number of pieces carried forward beside the score; nothing is traced back."""
+        """As ``_solve``, with the number of pieces carried forward beside the score; merge and loose vocabularies are traced back."""
         if self.kind != UNIGRAM or self.loose:
             length_at, id_at = self._viterbi(chunk) if self.kind == UNIGRAM else self._last_pieces(chunk)
             total, n = 0, len(chunk)
