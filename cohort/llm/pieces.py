@@ -12,12 +12,13 @@ a position keeps of them depends on the kind of vocabulary, which the model file
 A character in no piece is an unknown: with byte fallback, the byte pieces of its UTF-8.
 
 Pieces hold the space mark only in front, so texts fall into chunks (marks, then other characters) that are solved
-once and remembered.  Vocabularies with marks inside pieces are solved as whole texts.
+once and remembered until the end of the task.  Vocabularies with marks inside pieces are solved as whole texts.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,9 +32,11 @@ from .common import ref
 
 MARK = "\u2581"
 #: Chunks that a Python worker remembers in each of two generations (some 200 bytes a chunk).
-MEMO = 60_000
+MEMO = 100_000
 #: Longer chunks are solved each time.
 MEMO_CHARS = 48
+#: Neighbouring pieces of which a worker remembers whether they merge (some 130 bytes a pair).
+PAIRS = 200_000
 #: An unknown character's unigram score: the lowest score less this.
 UNKNOWN_PENALTY = 10
 UNIGRAM, BPE = 1, 2
@@ -113,7 +116,7 @@ class Vocabulary:
                 self.halves[p] = parts[0], parts[1]
                 if any(h in self.odd or (len(h) > 1 and self.score[h] <= self.score[p]) for h in parts):
                     self.odd.add(p)
-            self.automaton.add_word(p, (len(p), self.score[p], i))
+            self.automaton.add_word(p, (len(p), self.score[p], i) if self.kind == UNIGRAM else (len(p), i))
         self.automaton.make_automaton()
         self.single = {p for p in self.score if len(p) == 1}
         letters = {c for p in self.score for c in p}
@@ -125,9 +128,13 @@ class Vocabulary:
         inside = any(MARK in p.lstrip(MARK) for p in self.score)
         tail = f"[^{MARK}{stops}]"
         self.chunks = None if inside else re.compile(f"{MARK}+{tail}*|{tail}+" + (f"|[{stops}]" if stops else ""))
-        self.beside: dict[tuple[int, int], bool] = {}
-        self.memo: tuple[dict, dict] = ({}, {})
-        self.counts: tuple[dict, dict] = ({}, {})
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all that was remembered of texts: at the end of a task, as Spark keeps its Python workers."""
+        self.beside: dict[int, bool] = {}
+        self.memo: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
 
     def merged(self, text: str, stop: int = 1) -> list[str]:
         """Merges by definition: of all neighbours that make a piece, the best score first, from the left."""
@@ -241,37 +248,54 @@ class Vocabulary:
                 best[end], length_at[end], id_at[end] = reached, 1, -1
         return length_at, id_at
 
-    def _last_pieces(self, chunk: str) -> tuple[list[int], list[int]]:
-        """Length and id of the last piece of the merged encoding of each prefix."""
-        size, beside = len(chunk), self.beside
-        length_at, id_at = [0] * (size + 1), [-1] * (size + 1)
-        for end, (length, _, i) in self.automaton.iter(chunk):
+    def _fits(self, before: int, i: int) -> bool:
+        """Can piece ``i`` stand behind piece ``before`` (-1: an unknown)?"""
+        if len(self.beside) >= PAIRS:
+            self.beside.clear()
+        fits = before < 0 or self._stay_apart(self.pieces[before], self.pieces[i])
+        self.beside[before * len(self.pieces) + i] = fits
+        return fits
+
+    def _last_pieces(self, text: str) -> tuple[list[int], list[int]]:
+        """Length and id of the last piece of the merged encoding of each prefix; a character of no piece starts anew."""
+        size, beside, n = len(text) + 1, self.beside, len(self.pieces)
+        length_at, id_at = [0] * size, [-1] * size
+        for end, (length, i) in self.automaton.iter(text):
             end += 1
             if length_at[end]:
                 continue
-            start = end - length
-            if start:
-                pair = id_at[start], i
-                fits = beside.get(pair)
-                if fits is None:
-                    fits = beside[pair] = pair[0] < 0 or self._stay_apart(self.pieces[pair[0]], self.pieces[i])
-                if not fits:
-                    continue
+            before = id_at[end - length]
+            fits = beside.get(before * n + i)
+            if not (self._fits(before, i) if fits is None else fits):
+                continue
             length_at[end], id_at[end] = length, i
         if self.loose:
-            for end in range(1, size + 1):
+            for end in range(1, size):
                 length_at[end] = length_at[end] or 1
         return length_at, id_at
 
+    def _counts(self, text: str) -> list[int]:
+        """Pieces of the merged encoding of each prefix: one more than what lies before its last piece."""
+        size, beside, n = len(text) + 1, self.beside, len(self.pieces)
+        pieces, id_at = [0] * size, [-1] * size
+        for end, (length, i) in self.automaton.iter(text):
+            end += 1
+            if pieces[end]:
+                continue
+            start = end - length
+            before = id_at[start]
+            fits = beside.get(before * n + i)
+            if not (self._fits(before, i) if fits is None else fits):
+                continue
+            pieces[end], id_at[end] = pieces[start] + 1, i
+        return pieces
+
     def _count(self, chunk: str) -> int:
-        """As ``_solve``, with the number of pieces carried forward beside the score; merge and loose vocabularies are traced back."""
-        if self.kind != UNIGRAM or self.loose:
-            length_at, id_at = self._viterbi(chunk) if self.kind == UNIGRAM else self._last_pieces(chunk)
-            total, n = 0, len(chunk)
-            while n:
-                total += 1 if id_at[n] >= 0 else len(self._unknown(chunk[n - 1]))
-                n -= length_at[n]
-            return total
+        """As ``_solve``, with the number of pieces carried forward and nothing traced back (but for loose vocabularies)."""
+        if self.loose:
+            return len(self._solve(chunk))
+        if self.kind == BPE:
+            return self._counts(chunk)[-1]
         best, pieces = [0.0] + [None] * len(chunk), [0] * (len(chunk) + 1)
         for end, (length, score, _) in self.automaton.iter(chunk):
             end += 1
@@ -280,18 +304,44 @@ class Vocabulary:
                 best[end], pieces[end] = reached, pieces[end - length] + 1
         return pieces[-1]
 
+    def _ids_of(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks as 32-bit integers: those of plain characters in one pass, with characters of no piece between them."""
+        found, plain = self._sorted_out(chunks, lambda c: array("i", self.solve(c)).tobytes())
+        length_at, id_at = self._last_pieces("\0".join(plain))
+        at = 0
+        for c in plain:
+            n, out = at + len(c), []
+            while n > at:
+                out.append(id_at[n])
+                n -= length_at[n]
+            out.reverse()
+            found[c] = array("i", out).tobytes()
+            at += len(c) + 1
+        return found
+
+    def _sizes_of(self, chunks: list[str]) -> dict[str, int]:
+        """As above, the number of ids."""
+        found, plain = self._sorted_out(chunks, self.count_chunk)
+        pieces, at = self._counts("\0".join(plain)), -1
+        for c in plain:
+            at += len(c) + 1
+            found[c] = pieces[at]
+        return found
+
+    def _sorted_out(self, chunks: list[str], solve) -> tuple[dict, list[str]]:
+        """Chunks that are solved on their own, with what they give, and the others."""
+        if self.kind == UNIGRAM or self.loose or "\0" in self.single:
+            return {c: solve(c) for c in chunks}, []
+        plain = [c for c in chunks if self.single.issuperset(c)]
+        return {c: solve(c) for c in chunks if not self.single.issuperset(c)}, plain
+
     def split(self, text: str) -> list[str]:
         """Chunks of a text that no piece crosses."""
         if self.chunks is None:
             return [MARK + text.replace(" ", MARK)]
         if self.newline_cuts and text[0] != " " != text[-1] and not any(odd in text for odd in _ODD_SPACES):
             # single spaces: words of lines; only the first word of a later line has no mark
-            lines = text.split("\n")
-            out = (MARK + lines[0].replace(" ", _CUT)).split("\0")
-            for line in lines[1:]:
-                out.append("\n")
-                out += line.replace(" ", _CUT).split("\0")
-            return out
+            return list(filter(None, (MARK + text.replace(" ", _CUT).replace("\n", "\0\n\0")).split("\0")))
         return self.chunks.findall(MARK + text.replace(" ", MARK))
 
     def _cut(self, chunk: str) -> int:
@@ -300,58 +350,82 @@ class Vocabulary:
         at = tail.start() if tail else 0
         return at if at and chunk[at - 1 : at + 1] not in self.pairs else 0
 
-    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        new, old = self.memo
-        part = new.get(chunk)
-        if part is None:
-            part = old.get(chunk)
-            if part is None:
-                at = self._cut(chunk)
-                part = self.chunk_ids(chunk[:at]) + self.chunk_ids(chunk[at:]) if at else tuple(self.solve(chunk))
-            if len(chunk) <= MEMO_CHARS:
-                new[chunk] = part
-        return part
-
-    def chunk_size(self, chunk: str) -> int:
-        new, old = self.counts
-        n = new.get(chunk)
-        if n is None:
-            n = old.get(chunk)
-            if n is None:
-                at = self._cut(chunk)
-                n = self.chunk_size(chunk[:at]) + self.chunk_size(chunk[at:]) if at else self.count_chunk(chunk)
-            if len(chunk) <= MEMO_CHARS:
-                new[chunk] = n
-        return n
+    def _look_up(self, chunks: list[str], memo: tuple[dict, dict], solve) -> dict:
+        """See to it that ``memo`` knows the chunks; gives those that are not to be remembered.
 
-    def encode(self, text: str) -> list[int]:
+        Values are bytes or numbers: that of a chunk is the sum of those of its parts.
+        """
+        new, old = memo
+        cut, todo, others = [], set(), {}
+        for c in set(chunks).difference(new):
+            value = old.get(c)
+            if value is not None:
+                new[c] = value
+                continue
+            at = 0 if c[-1].isalnum() else self._cut(c)
+            if at:
+                cut.append((c, c[:at], c[at:]))
+                todo.update(part for part in cut[-1][1:] if part not in new and part not in old)
+            else:
+                todo.add(c)
+        if not (todo or cut):
+            return others
+        fresh = solve(list(todo))
+        for c, head, tail in cut:
+            fresh[c] = _first(head, fresh, new, old) + _first(tail, fresh, new, old)
+        for c, value in fresh.items():
+            if len(c) <= MEMO_CHARS and (isinstance(value, int) or self._spelt(memoryview(value).cast("i")) == c.replace(MARK, " ")):
+                new[c] = value
+            else:
+                others[c] = value
+        return others
+
+    def encoded(self, text: str) -> tuple[bytes, bool]:
+        """(ids as 32-bit integers, do they decode to the text).
+
+        Decoding is checked chunk by chunk, when a chunk is solved; a text decodes to itself if its chunks do and make up the text.
+        """
         if not text:
-            return []
-        known, ids = self.memo[0], []
-        for chunk in self.split(text):
-            ids += known.get(chunk) or self.chunk_ids(chunk)
+            return b"", True
+        chunks, known = self.split(text), self.memo[0]
+        others = self._look_up(chunks, self.memo, self._ids_of)
+        out = b"".join((known.get(c) or others[c] for c in chunks) if others else map(known.__getitem__, chunks))
+        # a space mark in the text itself decodes to a space
+        same = MARK not in text and "".join(chunks) == MARK + text.replace(" ", MARK)
+        same = same and all(self._spelt(memoryview(v).cast("i")) == c.replace(MARK, " ") for c, v in others.items())
         if len(known) >= MEMO:
             self.memo = {}, known
-        return ids
+        return out, same
+
+    def encode(self, text: str) -> list[int]:
+        return list(memoryview(self.encoded(text)[0]).cast("i"))
 
     def count(self, text: str) -> int:
         if not text:
             return 0
-        known, total = self.counts[0], 0
-        for chunk in self.split(text):
-            total += known.get(chunk) or self.chunk_size(chunk)
+        chunks, known = self.split(text), self.counts[0]
+        others = self._look_up(chunks, self.counts, self._sizes_of)
+        total = sum((known.get(c) or others[c] for c in chunks) if others else map(known.__getitem__, chunks))
         if len(known) >= MEMO:
             self.counts = {}, known
         return total
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: control ids vanish, byte runs are UTF-8, marks are spaces, the leading one is dropped."""
+    def _spelt(self, ids) -> str:
         text = "".join(map(self.text_of.__getitem__, ids))
-        if _HIGH_BYTE.search(text):
+        if not text.isascii() and _HIGH_BYTE.search(text):
             text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return text
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: control ids vanish, byte runs are UTF-8, marks are spaces, the leading one is dropped."""
+        text = self._spelt(ids)
         return text[1:] if text[:1] == " " else text
 
 
+def _first(key: str, *tables: dict):
+    return next(t[key] for t in tables if key in t)
+
+
 _CUT = "\0" + MARK
 #: Texts with any of these, or with spaces at an end, are split by the slower pattern.
 _ODD_SPACES = ("  ", " \n", "\n ", MARK, "\0")
@@ -359,7 +433,7 @@ _PUNCTUATION = re.compile(rf"[^\w{MARK}]+$")
 _HIGH_BYTE = re.compile("[\udc80-\udcff]")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     """One copy a Python worker; the file must be there on every executor (as the library's is)."""
     return Vocabulary(path)
@@ -372,8 +446,9 @@ ROWS = 256
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, ids, round_trip)`` for every row; round_trip says whether decoding the ids gives the text back.
 
-    Null texts are encoded as empty texts: no ids.  (A text that holds the space mark itself decodes to a space.)  Repeated rows each get
-    their row, extra columns are ignored, an empty table gives an empty result.
+    Null texts are encoded as empty texts: no ids, and ``round_trip`` is true.  A text that holds the space mark itself decodes to a space,
+    so its ``round_trip`` is false.  Texts are encoded whole, however long: a worker holds the ids of ``ROWS`` of them.  Null ids stay null, repeated
+    rows each get their row, extra columns are ignored, an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -382,23 +457,23 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                sizes, arrays, same = [], [], []
-                for t in part.column(1):
-                    text = t.as_py() or ""
-                    ids = vocab.encode(text)
-                    sizes.append(len(ids))
-                    arrays.append(np.array(ids, dtype=np.int32))
-                    same.append(vocab.decode(ids) == text)
+                ids, same = zip(*(vocab.encoded(t or "") for t in part.column(1).to_pylist()), strict=True)
+                sizes = np.array([len(x) // 4 for x in ids])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays)))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), lists, pa.array(same)], ["id", "n_tokens", "ids", "round_trip"])
+        vocab.forget()
 
     rows = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def decode_documents(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(id, text)`` from arrays of ids; null arrays give null, null ids and ids outside of the vocabulary are dropped."""
+    """``(id, text)`` from arrays of ids; null arrays give null, null ids and ids outside of the vocabulary are dropped.
+
+    Arrays are decoded whole, however long.  Null row ids stay null, repeated rows each get their row, extra columns are ignored,
+    an empty table gives an empty result.
+    """
     kind = tokens.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,17 +492,22 @@ def decode_documents(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_
 
 
 def count_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, n_chars)`` for every row, without building ids; null texts have 0 of both."""
+    """``(id, n_tokens, n_chars)`` for every row, without building ids.
+
+    Null and empty texts have 0 of both.  Texts are counted whole, however long.  Null ids stay null, repeated rows each get their row, extra
+    columns are ignored, an empty table gives an empty result.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([vocab.count(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64())],
                 ["id", "n_tokens", "n_chars"],
             )
+        vocab.forget()
 
     rows = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, n_chars long").withColumnRenamed("id", id_col)
