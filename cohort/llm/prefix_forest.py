@@ -3,13 +3,12 @@
 Every tree turns a vector into a long string of hash bits: sides of hyperplanes between pairs of sampled vectors, cut at the
 sample's median.  For inner products, vectors are lengthened by one component to equal norm first, which keeps the order.  A tree is a
 sorted array of these strings.  A query descends in every tree to the longest prefix it shares with any vector, then ascends in all
-trees together, one bit at a time, until the vectors under its prefixes number at least the wanted candidates; those
-are scored exactly.
+trees together, one bit at a time (on the last level tree by tree), until the vectors under its prefixes number at least the
+wanted candidates; those, each once, are scored exactly.
 
-On Spark the arrays are sharded by prefix.  The number of vectors under every prefix of up to ``DEPTH`` bits is one aggregation
-(at most trees x 2^DEPTH rows, whatever the table's size); from it come both the shards and, for each query, the depth at
-which the ascent stops.  Queries go to the shards that their prefixes cover, each shard sorts its strings, finds a
-query's range by bisection, and gives back the best of it in one row.
+On Spark the vectors are dealt evenly over blocks by a hash of their id, each with a forest of its own; the forest of the
+table is their union.  A task holds one block of vectors and one of queries, whatever the table's size and however many
+vectors have one hash string, and gives back one row a query.
 
 How many candidates are wanted is measured: on a bounded sample, the smallest share of the vectors that
 reaches the target recall against brute force.
@@ -17,25 +16,22 @@ reaches the target recall against brute force.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_pairs
 from .common import checkpointed, ref
 from .multi_index import valid_vector
 
-TREES = 10
-#: Bits of a hash string, and of the prefixes that are counted.
-BITS, DEPTH = 48, 12
+TREES = 20
+#: Bits of a hash string.
+BITS = 48
 FIT_ROWS = 8_000
 FIT_QUERIES = 200
-TARGET_RECALL = 0.97
-#: Vectors in a shard of a sorted array, about.
-SHARD_ROWS = 2_048
+TARGET_RECALL = 0.93
+#: Vectors and queries in a block, about.
+BLOCK_ROWS, QUERY_ROWS = 8_192, 8_192
 
 
 def lengthened(x: np.ndarray, longest: float) -> np.ndarray:
@@ -63,36 +59,80 @@ def fit_planes(x: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return planes, cuts
 
 
-def wanted_share(x: np.ndarray, raw: np.ndarray, planes: np.ndarray, cuts: np.ndarray, k: int, target: float) -> float:
+class Forest:
+    """One sorted array of hash strings a tree, over the rows of ``x``."""
+
+    def __init__(self, strings: np.ndarray):
+        self.rows = len(strings)
+        self.order = np.argsort(strings.T, axis=1, kind="stable").astype(np.int32)
+        self.keys = np.take_along_axis(strings.T, self.order, axis=1)
+
+    def ranges(self, strings: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(trees, queries) bounds in the sorted arrays of what shares each query's prefix of its ``depth``."""
+        shift = BITS - depth
+        low = strings.T >> shift << shift
+        high = low + (np.int64(1) << shift)
+        bound = [(np.searchsorted(k, lo), np.searchsorted(k, hi)) for k, lo, hi in zip(self.keys, low, high, strict=True)]
+        return np.array([a for a, _ in bound]), np.array([z for _, z in bound])
+
+    def ascend(self, strings: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds at which the synchronous ascent stops: those with at least ``wanted`` vectors, summed over trees.
+
+        Prefixes only widen on the way up, so the deepest level with enough is found by bisection; there the trees go
+        up one after another, and the rest stay one bit deeper.
+        """
+        low, high = np.zeros(len(strings), dtype=np.int64), np.full(len(strings), BITS, dtype=np.int64)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            a, z = self.ranges(strings, middle)
+            enough = (z - a).sum(axis=0) >= wanted
+            low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
+        a, z = self.ranges(strings, low)
+        deep_a, deep_z = self.ranges(strings, np.minimum(low + 1, BITS))
+        more = (z - a) - (deep_z - deep_a)
+        goes_up = (deep_z - deep_a).sum(axis=0) + np.cumsum(more, axis=0) - more < wanted
+        return np.where(goes_up, a, deep_a), np.where(goes_up, z, deep_z)
+
+    def candidates(self, strings: np.ndarray, wanted: float):
+        """Rows found for each query in turn, every row once, in rising order."""
+        low, high = self.ascend(strings, wanted)
+        for q in range(len(strings)):
+            hit = np.zeros(self.rows, dtype=bool)
+            for order, a, z in zip(self.order, low[:, q], high[:, q], strict=True):
+                hit[order[a:z]] = True
+            yield np.flatnonzero(hit)
+
+
+def query_strings(x: np.ndarray, planes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Hash strings of queries: their length does not matter to the order, so they get no last component."""
+    return hash_strings(np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))]), planes, cuts)
+
+
+def wanted_share(x: np.ndarray, longest: float, planes: np.ndarray, cuts: np.ndarray, k: int, target: float) -> float:
     """Candidates (summed over trees) as a share of the vectors, such that recall in the sample reaches ``target``."""
     n = len(x)
     if n <= 4 * k:
         return float(TREES)
     queries = np.random.default_rng(3).choice(n, size=min(FIT_QUERIES, n), replace=False)
-    scores = raw[queries] @ raw.T
+    scores = x[queries] @ x.T
     scores[np.arange(len(queries)), queries] = -np.inf
-    true = np.argsort(-scores, axis=1)[:, :k]
-    h = hash_strings(x, planes, cuts)
-    found, costs = [], []
-    for depth in range(DEPTH, -1, -1):
-        same = h[queries][:, None, :] >> (BITS - depth) == h[None, :, :] >> (BITS - depth)
-        hit = same.any(axis=2)
-        found.append(np.take_along_axis(hit, true, axis=1).mean(axis=1))
-        costs.append(same.sum(axis=(1, 2)) / n)
-    found, costs = np.array(found), np.array(costs)
-    for share in np.geomspace(k / n, TREES, 60):
-        at = (costs >= share).argmax(axis=0)
-        if found[at, np.arange(len(queries))].mean() >= target:
-            return float(share)
-    return float(TREES)
+    true = np.argpartition(-scores, k, axis=1)[:, :k]
+    forest, asked = Forest(hash_strings(lengthened(x, longest), planes, cuts)), query_strings(x[queries], planes, cuts)
+    low, high = np.log(k / n), np.log(TREES)
+    for _ in range(10):
+        middle = (low + high) / 2
+        found = np.mean([np.isin(t, c, assume_unique=True).mean() for t, c in zip(true, forest.candidates(asked, np.exp(middle) * n), strict=True)])
+        low, high = (low, middle) if found >= target else (middle, high)
+    return float(np.exp(high))
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", target_recall: float = TARGET_RECALL) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` largest inner products found, in double precision, for every query.
 
     A query's own row (same id) is no candidate.  Ties go to the smaller id.  Rows with null ids, or vectors that are null,
-    empty, zero, not finite, or not of the commonest length, take no part; repeated rows of one id count once (the
-    smallest vector).  Empty tables give an empty result.
+    empty, zero or not finite, take no part; a query's candidates are the vectors of its length (each length has
+    a forest and jobs of its own); repeated rows of one id count once (the smallest vector).  Extra columns are ignored.  Empty
+    tables give an empty result.
     """
     spark = vectors.sparkSession
 
@@ -102,107 +142,60 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
 
     data, asked = checkpointed(clean(vectors)), checkpointed(clean(queries))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    shape = data.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), "width").limit(1).collect()
-    if not shape:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double").withColumnRenamed("vec_id", id_col)
-    width, n, longest = shape[0].width, shape[0].n, shape[0].longest
-    data, asked = data.where(F.size("v") == width), asked.where(F.size("v") == width)
-    sample = np.array([r.v for r in data.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()])
-    tall = lengthened(sample, longest)
-    planes, cuts = fit_planes(tall)
-    sub = min(len(sample), 2_000)
-    wanted = wanted_share(tall[:sub], sample[:sub], planes, cuts, k, target_recall) * n
-    shared = spark.sparkContext.broadcast((planes, cuts))
-
-    def hashed(stretch: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            p, c = shared.value
-            for b in batches:
-                x = np.array(b["v"].tolist(), dtype=np.float64)
-                # a query's length does not matter to its order; it gets no last component
-                y = lengthened(x, longest) if stretch else np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
-                yield pd.DataFrame({"id": b["id"], "hs": list(hash_strings(y, p, c)), "v": [r.tobytes() for r in x]})
-
-        return run
-
-    kind = "id long, hs array<long>, v binary"
-    index = checkpointed(data.mapInPandas(hashed(True), kind).select("id", "v", F.posexplode("hs").alias("tree", "h")))
-    probes = checkpointed(asked.mapInPandas(hashed(False), kind))
-    counts = index.groupBy("tree", F.shiftright("h", BITS - DEPTH).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-    leaves = np.zeros((TREES, 1 << DEPTH), dtype=np.int64)
-    for r in counts:
-        leaves[r.tree, r.p] = r.n
-    upto = np.concatenate([np.zeros((TREES, 1), dtype=np.int64), np.cumsum(leaves, axis=1)], axis=1)
-    # shards: neighbouring leaves until about SHARD_ROWS vectors; a fuller leaf is a shard that blocks divide
-    shard = ((upto[:, 1:] - 1) // SHARD_ROWS).clip(min=0)
-    trie = spark.sparkContext.broadcast((upto, shard))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One row for each shard that a query's prefixes cover."""
-        up, sh = trie.value
-        for b in batches:
-            h = np.array(b["hs"].tolist(), dtype=np.int64).reshape(len(b), TREES)
-            low, high = _ascend(h, up, wanted)
-            rows = []
-            for r, (i, v) in enumerate(zip(b["id"], b["v"], strict=True)):
-                for t in range(TREES):
-                    if up[t, high[r, t]] > up[t, low[r, t]]:
-                        for s in range(sh[t, low[r, t]], sh[t, high[r, t] - 1] + 1):
-                            rows.append((t << 40 | s, i, v, low[r, t] << (BITS - DEPTH), high[r, t] << (BITS - DEPTH)))
-            yield pd.DataFrame(rows, columns=["key", "id", "v", "lo", "hi"])
-
-    sent = checkpointed(probes.mapInPandas(route, "key long, id long, v binary, lo long, hi long"))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, sh = trie.value
-        for b in batches:
-            t, h = b["tree"].to_numpy(), b["h"].to_numpy()
-            yield pd.DataFrame({"key": t.astype(np.int64) << 40 | sh[t, h >> (BITS - DEPTH)], "id": b["id"], "v": b["v"], "lo": h, "hi": h})
-
-    members = checkpointed(index.mapInPandas(place, "key long, id long, v binary, lo long, hi long"))
-
-    def best_of_shard(group: pd.DataFrame) -> pd.DataFrame:
-        q, m = group[group["side"] == 0], group[group["side"] == 1].sort_values(["lo", "id"])
-        keys, ids = m["lo"].to_numpy(), m["id"].to_numpy()
-        x = np.frombuffer(b"".join(m["v"]), dtype=np.float64).reshape(len(m), -1)
-        y = np.frombuffer(b"".join(q["v"]), dtype=np.float64).reshape(len(q), -1)
-        a, z = np.searchsorted(keys, q["lo"].to_numpy()), np.searchsorted(keys, q["hi"].to_numpy())
-        rows = []
-        for r, qid in enumerate(q["id"]):
-            own, score = ids[a[r] : z[r]], x[a[r] : z[r]] @ y[r]
-            score[own == qid] = -np.inf
-            if len(own) > k + 1:
-                # the matrix product rounds as its shape goes: all within that of the k-th best are scored again
-                edge = np.partition(score, -k)[-k]
-                near = np.flatnonzero(score >= edge - 1e-9 * (1 + abs(edge)))
-            else:
-                near = np.arange(len(own))
-            near = near[score[near] > -np.inf]
-            exact = (x[a[r] + near] * y[r]).sum(axis=1)
-            top = np.lexsort((own[near], -exact))[:k]
-            if len(top):
-                rows.append((qid, int(group["key"].iloc[0]), [{"s": -exact[t], "id": own[near[t]]} for t in top]))
-        return pd.DataFrame(rows, columns=["q", "part", "best"])
-
-    found = block_pairs(sent, members, SHARD_ROWS).groupBy("key", "block").applyInPandas(best_of_shard, "q long, part long, best array<struct<s: double, id: bigint>>")
-    # lists of k meet in two steps, so that no group holds more than the root of the number of shards
-    fan = max(1, int(np.sqrt(TREES * (shard.max() + 1))))
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best")
-    merged = found.groupBy("q", F.pmod(F.xxhash64("part"), F.lit(fan)).alias("some")).agg(best).groupBy("q").agg(best)
+    shapes = data.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest")).orderBy("width").collect()
+    sizes = {r.width: r.n for r in asked.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = spark.createDataFrame([], "q long, part int, best array<struct<s: double, id: bigint>>")
+    most = 1
+    for s in shapes:
+        if s.width in sizes:
+            parts = -(-s.n // BLOCK_ROWS)
+            most = max(most, parts)
+            mine, theirs = data.where(F.size("v") == s.width), asked.where(F.size("v") == s.width)
+            found = found.unionByName(_search(mine, theirs, s.longest, parts, -(-sizes[s.width] // QUERY_ROWS), k, target_recall))
+    # lists of k meet in two steps, so that no group holds more than the root of the number of blocks
+    fan = max(1, int(np.sqrt(most)))
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
+    merged = found.groupBy("q", F.pmod("part", F.lit(fan)).alias("some")).agg(best).groupBy("q").agg(best)
     ranked = merged.select("q", F.posexplode("best").alias("at", "c"))
     return ranked.select(F.col("q").alias("query_id"), (F.col("at") + 1).alias("rank"), F.col("c.id").alias(id_col), (-F.col("c.s")).alias("score"))
 
 
-def _ascend(h: np.ndarray, up: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
-    """Leaf ranges [low, high) of each query and tree at the depth where the ascent stops."""
-    leaf = h >> (BITS - DEPTH)
-    tree = np.arange(TREES)[None, :]
-    low, high = leaf.copy(), leaf + 1
-    done = np.zeros(len(h), dtype=bool)
-    for depth in range(DEPTH, -1, -1):
-        lo = leaf >> (DEPTH - depth) << (DEPTH - depth)
-        hi = lo + (1 << (DEPTH - depth))
-        go = ~done
-        low[go], high[go] = lo[go], hi[go]
-        done |= (up[tree, high] - up[tree, low]).sum(axis=1) >= wanted
-    return low, high
+def _search(data: DataFrame, asked: DataFrame, longest: float, parts: int, query_parts: int, k: int, target: float) -> DataFrame:
+    """``(q, part, best)`` for vectors of one length: the best of each block for each query."""
+    sample = np.array([r.v for r in data.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()])
+    planes, cuts = fit_planes(lengthened(sample, longest))
+    share = wanted_share(sample, longest, planes, cuts, k, target)
+    shared = data.sparkSession.sparkContext.broadcast((planes, cuts))
+
+    def dealt(df: DataFrame, mine: int, others: int, side: int) -> DataFrame:
+        """Rows in their own part, once for each part of the other side."""
+        own, other = F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        rows = df.select("id", "v", own.alias("own"), other.alias("other"))
+        block, query_block = ("other", "own") if side == 0 else ("own", "other")
+        return rows.select("id", "v", F.lit(side).alias("side"), F.col(block).alias("block"), F.col(query_block).alias("query_block"))
+
+    def best_of_block(group: pa.Table) -> pa.Table:
+        side, ids = group.column("side").to_numpy(), group.column("id").to_numpy()
+        flat = group.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        x, y, own, asking = flat[side == 1], flat[side == 0], ids[side == 1], ids[side == 0]
+        rows: list[tuple] = []
+        if len(x) and len(y):
+            p, c = shared.value
+            forest = Forest(hash_strings(lengthened(x, longest), p, c))
+            for q, v, near in zip(asking, y, forest.candidates(query_strings(y, p, c), max(4.0 * k, share * len(x))), strict=True):
+                near = near[own[near] != q]
+                score = x[near] @ v
+                if len(near) > k:
+                    # the matrix product rounds as its shape goes: all within that of the k-th best are scored again
+                    edge = np.partition(score, -k)[-k]
+                    near = near[score >= edge - 1e-9 * (1 + abs(edge))]
+                exact = (x[near] * v).sum(axis=1)
+                top = np.lexsort((own[near], -exact))[:k]
+                if len(top):
+                    rows.append((int(q), [{"s": -float(exact[t]), "id": int(own[near[t]])} for t in top]))
+        part = pa.array([group.column("block")[0].as_py()] * len(rows), pa.int32())
+        best = pa.array([b for _, b in rows], pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())])))
+        return pa.table({"q": pa.array([q for q, _ in rows], pa.int64()), "part": part, "best": best})
+
+    met = dealt(asked, query_parts, parts, 0).unionByName(dealt(data, parts, query_parts, 1))
+    return met.groupBy("block", "query_block").applyInArrow(best_of_block, "q long, part int, best array<struct<s: double, id: bigint>>")

@@ -126,3 +126,53 @@ def test_nearest_small_and_empty(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in out) == [(20, 1, 1), (20, 2, 2), (20, 3, 40), (40, 1, 1), (40, 2, 2), (40, 3, 20)]
     assert prefix_forest.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
     assert prefix_forest.nearest_neighbours(df, df.limit(0)).count() == 0
+
+
+def test_other_lengths_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(prefix_forest, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(prefix_forest, "QUERY_ROWS", 20)
+    rows = vectors(1500, 8) + [(10_000 + i, [float(i), 1.0], 1, 0) for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = prefix_forest.nearest_neighbours(df, df.where("vec_id % 20 = 0")).collect()
+    want = brute_top(rows, 20)
+    short = [(r["rank"], r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 10_000]
+    assert short == [(1, 9007, 2.0), (2, 10_001, 1.0), (3, 10_002, 1.0)]
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+    assert all(len(got[q]) == 20 for q in want)
+
+
+def test_ascent_is_the_bitwise_one():
+    rng = np.random.default_rng(4)
+    strings = rng.integers(0, 1 << prefix_forest.BITS, (400, prefix_forest.TREES))
+    strings[:50] = strings[0]  # copies share every bit
+    forest = prefix_forest.Forest(strings)
+    asked = np.concatenate([strings[:5], rng.integers(0, 1 << prefix_forest.BITS, (20, prefix_forest.TREES))])
+    for wanted in (1, 60, 900, 10**6):
+        for q, found in zip(asked, forest.candidates(asked, wanted), strict=True):
+            depth = [prefix_forest.BITS] * prefix_forest.TREES
+            under = [{i for i in range(400) if strings[i, t] == q[t]} for t in range(prefix_forest.TREES)]
+            while sum(map(len, under)) < wanted and any(depth):
+                t = depth.index(max(depth))
+                depth[t] -= 1
+                shift = prefix_forest.BITS - depth[t]
+                under[t] = {i for i in range(400) if strings[i, t] >> shift == q[t] >> shift}
+            assert set(found.tolist()) == set().union(*under)
+
+
+def test_nearest_on_the_given_vectors(spark):
+    """Recall against brute force over a whole table of little structure (the best products are near 0.4)."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    got = {}
+    for r in prefix_forest.nearest_neighbours(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = [i for i in range(len(ids)) if ids[i] % 20 == 0]
+    hits = 0
+    for i in asked:
+        score = np.where(ids == ids[i], -np.inf, x @ x[i])
+        hits += len(got[ids[i]] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert hits >= 0.9 * 20 * len(asked)
