@@ -16,6 +16,10 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 2_000
 
 
+#: Spark keeps its Python workers: what a task has freed goes back to the system, not to a pool for the next one.
+FREEING = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it (no install needed), in bounded batches."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
@@ -25,6 +29,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for name, value in FREEING.items():
+        env.setdefault(name, value)
     return spark
 
 

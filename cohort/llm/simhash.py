@@ -193,16 +193,18 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
     All columns stay.  Of several rows with the smallest id (or, in a group without ids, of all its rows) that with
     the smallest fingerprint, then text, stays.
     """
+    marked = checkpointed(_marked_components(docs, id_col, text_col))
     heads = checkpointed(
-        _marked_components(docs, id_col, text_col)
-        .where(F.col("id").eqNullSafe(F.col("component_id")))
+        marked.where(F.col("id").eqNullSafe(F.col("component_id")))
         .groupBy("root").agg(F.min("component_id").alias("head"), F.min("fp").alias("head_fp"), F.count(F.lit(1)).alias("n"))
     )
     fp, head, head_fp, rank = fresh(docs, "fp_", "head_", "head_fp_", "rank_")
     wanted = heads.select(F.col("head").alias(head), F.col("head_fp").alias(head_fp))
-    kept = with_fingerprint(docs, text_col, fp).join(
-        wanted, ref(id_col).eqNullSafe(ref(head)) & (ref(fp) == ref(head_fp)), "left_semi"
-    )
+    same_id = ref(id_col).eqNullSafe(ref(head))
+    if marked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # an id names its row, so texts need not be fingerprinted again
+        return docs.join(wanted, same_id, "left_semi")
+    kept = with_fingerprint(docs, text_col, fp).join(wanted, same_id & (ref(fp) == ref(head_fp)), "left_semi")
     if not heads.where("n > 1").isEmpty():
         repeats = Window.partitionBy(ref(id_col), ref(fp)).orderBy(ref(text_col))
         kept = kept.withColumn(rank, F.row_number().over(repeats)).where(ref(rank) == 1)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -125,9 +126,10 @@ def with_features(docs: DataFrame, text_col: str, out: str, learned: dict[str, f
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        learned, memo = shared.value, {}
-        return pd.Series([features_of(t, learned, memo) for t in texts], dtype=object)
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        learned, memo = shared.value, {}  # words are remembered until the task ends
+        for texts in batches:
+            yield pd.Series([features_of(t, learned, memo) for t in texts], dtype=object)
 
     return docs.withColumn(out, features(ref(text_col)))
 

@@ -90,6 +90,14 @@ def test_keep_one(spark):
     assert sorted(map(str, kept.collect())) == sorted(map(str, [r for r in df.collect() if r.doc_id == 2] + [df.collect()[1], df.collect()[4]]))
 
 
+def test_keep_one_of_unique_ids(spark):
+    """Where ids name their rows no text is fingerprinted again; one row without an id is such a case, too."""
+    rows = [(3, "a b c d", "x"), (1, "A b c d", "x"), (2, "other words are here", "x"), (5, None, "x"), (4, "", "x"), (None, "none has an id", "x"), (None, "a b c d", "x")]
+    for some in (rows[:6], rows):  # the second has two rows without an id
+        kept = simhash.keep_one_per_component(spark.createDataFrame(some, SCHEMA))
+        assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "None"]
+
+
 def test_repeats_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, "x"), (None, None), (7, "x"), (7, "x")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.simhash_components(df).collect())
