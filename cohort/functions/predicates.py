@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import UNITS, WIDENED, Condition, Rule, SpecError
-from ..common import column_type, is_number, is_time, ref
+from ..common import column_type, fresh, is_number, is_time, ref
 
 #: Longer lists are joined instead of listed in the plan.
 LISTED_VALUES = 1_000
@@ -49,12 +49,18 @@ def _instant(text: str) -> str:
 
 
 def _equals(c: Column, kind: T.DataType, value: Any) -> Column:
+    left, right = _sides(c, kind, value)
+    return left == right
+
+
+def _sides(c: Column, kind: T.DataType, value: Any) -> tuple[Column, Column]:
+    """A column and a constant of one type; a constant that cannot be read so is null."""
     if is_time(kind):
-        return c == F.lit(_instant(str(value))).try_cast(kind)
+        return c, F.lit(_instant(str(value))).try_cast(kind)
     if is_number(kind) or isinstance(kind, T.BooleanType):
         # a constant of the column's own type, so that the filter reaches the scan
-        return c == F.lit(value if isinstance(value, bool) else str(value)).try_cast(kind)
-    return as_text(c, kind) == F.lit(_spell(value))
+        return c, F.lit(value if isinstance(value, bool) else str(value)).try_cast(kind)
+    return as_text(c, kind), F.lit(_spell(value))
 
 
 def _spell(value: Any) -> str:
@@ -107,7 +113,12 @@ def one(df: DataFrame, condition: Condition, key: str | None, now: datetime) ->
     if op == "notNull":
         return c.isNotNull()
     low, target = F.lower(as_text(c, kind)), _spell(value if value is not None else "").lower()
-    if op in ("eq", "neq"):
+    if op == "neq":
+        # a constant that cannot be read differs from every value
+        left, right = _sides(c, kind, value)
+        different = ~left.eqNullSafe(right)
+        return different | c.isNull() if condition.include_nulls else different & c.isNotNull()
+    if op == "eq":
         found = _equals(c, kind, value)
     elif op in ("lt", "lte", "gt", "gte"):
         found = _compare(c, kind, op, value)
@@ -127,10 +138,10 @@ def one(df: DataFrame, condition: Condition, key: str | None, now: datetime) ->
         found = moment >= limit if op == "withinLast" else moment < limit
     else:
         found = as_text(c, kind).rlike(java_pattern(str(value)))
-    if op in ("neq", "notContains", "notIn"):
+    if op in ("notContains", "notIn"):
         found = ~found
     if op in WIDENED and condition.include_nulls:
-        return F.coalesce(found, F.lit(True)) if op != "neq" else (found | c.isNull())
+        return F.coalesce(found, F.lit(True))
     return found
 
 
@@ -169,8 +180,9 @@ def matching(df: DataFrame, rule: Rule, key: str | None, now: datetime) -> DataF
         if c.op == "in" and rule.match == "all" and isinstance(c.value, (list, tuple)) and len(c.value) > LISTED_VALUES:
             name = c.column or key
             kind = column_type(df, name)
-            listed = df.sparkSession.createDataFrame([(_spell(v),) for v in c.value], "listed_ string").distinct()
-            df = df.join(listed, as_text(ref(name), kind) == F.col("listed_"), "left_semi")
+            (value,) = fresh(df, "listed_")
+            listed = df.sparkSession.createDataFrame([(_spell(v),) for v in c.value], ["value"]).distinct().withColumnRenamed("value", value)
+            df = df.join(listed, as_text(ref(name), kind) == ref(value), "left_semi")
         else:
             rest.append(c)
     return df.filter(all_of(df, rest, rule.match, key, now))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import FieldStrategy, IdentitySource, LocaleSource, SpecError, Strategy
-from ..common import column_type, is_number, is_time, materialize, own_identity, ref
+from ..common import column_type, fresh, is_number, is_time, materialize, own_identity, ref
 from ..functions.generators import GENERATORS, generate
 from ..functions.jsonpath import overlay, read_path
 from ..functions.locale import locale_of
@@ -148,7 +148,8 @@ def keep_apart(df: DataFrame, key: str, column: str, flag: Column, value, rounds
         free = tried if done is None else tried.join(done.select("value"), "value", "left_anti")
         won = materialize(free.groupBy("value").agg(F.min("pk").alias("pk")).select("pk", "value"))
         done = won if done is None else materialize(done.unionByName(won))
-        rest = todo.join(won.select(F.col("pk").alias("won_")), ref(key) == F.col("won_"), "left_anti")
+        (mine,) = fresh(todo, "won_")
+        rest = todo.join(won.select(F.col("pk").alias(mine)), ref(key) == ref(mine), "left_anti")
         todo = materialize(rest.withColumn(salt, ref(salt) + 1))
         if todo.isEmpty():
             return done

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, SubsetSpec
-from ..common import as_type, column_type, ref
+from ..common import as_type, column_type, fresh, ref
 from .select import Kept
 
 
@@ -55,11 +55,12 @@ def null_dangling(df: DataFrame, table: str, policies: Mapping[tuple[str, str],
             if rows is None:
                 df = df.withColumn(column, F.lit(None).cast(column_type(df, column)))
                 continue
-            marks = rows.select(F.col("pk").alias("kept_"))
+            (mark,) = fresh(df, "kept_")
+            marks = rows.select(F.col("pk").alias(mark))
             key = as_type(ref(column), column_type(rows, "pk"), column_type(df, column))
             columns = df.columns
-            df = df.join(marks, key == F.col("kept_"), "left").select(
-                *[F.when(F.col("kept_").isNotNull(), ref(c)).alias(c) if c == column else ref(c) for c in columns]
+            df = df.join(marks, key == ref(mark), "left").select(
+                *[F.when(ref(mark).isNotNull(), ref(c)).alias(c) if c == column else ref(c) for c in columns]
             )
         if parents:
             tested.append(column)

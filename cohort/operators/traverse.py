@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, Edge, SubsetSpec
-from ..common import as_type, column_type, materialize, own_identity, ref
+from ..common import as_type, column_type, fresh, materialize, own_identity, ref
 from .select import Kept
 
 KEPT = "pk", "anonymize", "identity"
@@ -47,7 +47,8 @@ def references_of(edge: Edge, child: DataFrame, child_key: str | None, rows: Dat
     if edge.type_column is not None:
         child = child.where(ref(edge.type_column).cast("string") == edge.type_value)
     if rows is not None:
-        child = child.join(rows.select(F.col("pk").alias("pk_")), ref(child_key) == F.col("pk_"), "left_semi")
+        (pk,) = fresh(child, "pk_")
+        child = child.join(rows.select(F.col("pk").alias(pk)), ref(child_key) == ref(pk), "left_semi")
     fk = as_type(ref(edge.column), column_type(parent, parent_key), column_type(child, edge.column))
     return child.where(ref(edge.column).isNotNull()).select(fk.alias("ref"), ref(edge.column).cast("string").alias("spelled")).distinct()
 
@@ -182,7 +183,8 @@ def _plain_references(edge: Edge, child: DataFrame, key: str | None, rows: DataF
     if edge.type_column is not None:
         child = child.where(ref(edge.type_column).cast("string") == edge.type_value)
     if rows is not None:
-        child = child.join(rows.select(F.col("pk").alias("pk_")), ref(key) == F.col("pk_"), "left_semi")
+        (pk,) = fresh(child, "pk_")
+        child = child.join(rows.select(F.col("pk").alias(pk)), ref(key) == ref(pk), "left_semi")
     return child.where(ref(edge.column).isNotNull()).select(ref(edge.column)).limit(1)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, SubsetSpec
-from ..common import materialize, ref
+from ..common import fresh, materialize, ref
 from ..operators.anonymize import anonymize, country_of, declared_identity, entity_countries
 from ..operators.links import detect_links, link_rows
 from ..operators.policy import check_policies, null_dangling
@@ -83,19 +83,21 @@ def emit(df: DataFrame, name: str, kept: Kept, catalog: Catalog, spec: SubsetSpe
     if key is None or rows is None:
         return df.limit(0)
     strategies = [s for s in spec.strategies if s.table == name]
+    pk, flag, identity, entity, known, known_country, who_col, country = fresh(df, "pk_", "flag_", "identity_", "entity_", "known_", "known_country_", "who_", "country_")
     if not strategies:
-        return df.join(rows.select(F.col("pk").alias("pk_")), ref(key) == F.col("pk_"), "left_semi")
-    flags = rows.select(F.col("pk").alias("pk_"), F.col("anonymize").alias("flag_"), F.col("identity").alias("identity_"))
+        return df.join(rows.select(F.col("pk").alias(pk)), ref(key) == ref(pk), "left_semi")
+    flags = rows.select(F.col("pk").alias(pk), F.col("anonymize").alias(flag), F.col("identity").alias(identity))
     source = next((s for s in spec.identities if s.table == name), None)
-    who = F.coalesce(declared_identity(df, source), F.col("identity_"), F.concat(F.lit(f"{name}:"), ref(key).cast("string")))
-    joined = df.join(flags, ref(key) == F.col("pk_")).withColumn("who_", who)
+    who = F.coalesce(declared_identity(df, source), ref(identity), F.concat(F.lit(f"{name}:"), ref(key).cast("string")))
+    joined = df.join(flags, ref(key) == ref(pk)).withColumn(who_col, who)
     own = country_of(df, next((s for s in spec.locales if s.table == name), None))
     if countries is not None:
         # what is known about the entity wins, even if it is null
-        joined = joined.join(countries.withColumn("known_", F.lit(True)), F.col("who_") == F.col("entity"), "left")
-        own = F.when(F.col("known_"), F.col("entity_country")).otherwise(own)
-    joined = joined.withColumn("country_", own)
-    done = anonymize(joined, name, key, strategies, now, F.col("flag_"), F.col("who_"), F.col("country_"), catalog.tables[name].unique)
+        named = countries.select(F.col("entity").alias(entity), F.col("entity_country").alias(known_country), F.lit(True).alias(known))
+        joined = joined.join(named, ref(who_col) == ref(entity), "left")
+        own = F.when(ref(known), ref(known_country)).otherwise(own)
+    joined = joined.withColumn(country, own)
+    done = anonymize(joined, name, key, strategies, now, ref(flag), ref(who_col), ref(country), catalog.tables[name].unique)
     return done.select(*[ref(c) for c in df.columns])
 
 
@@ -106,8 +108,9 @@ def nulled_counts(result: Subset, tables: Mapping[str, DataFrame], catalog: Cata
         key = catalog.key(name)
         if key is None:
             continue
-        before = tables[name].select(ref(key).alias("pk_"), *[ref(c).isNotNull().alias(f"had {c}") for c in columns])
-        after = result.tables[name].select(ref(key), *[ref(c) for c in columns]).join(before, ref(key) == F.col("pk_"))
+        (pk,) = fresh(result.tables[name], "pk_")
+        before = tables[name].select(ref(key).alias(pk), *[ref(c).isNotNull().alias(f"had {c}") for c in columns])
+        after = result.tables[name].select(ref(key), *[ref(c) for c in columns]).join(before, ref(key) == ref(pk))
         for c in columns:
             n = after.agg(F.count_if(F.col(f"`had {c}`") & ref(c).isNull()).alias("nulled"))
             parts.append(n.select(F.lit(f"{name}.{c}").alias("column"), "nulled"))

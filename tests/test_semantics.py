@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohort.catalog import (
-    Binding, Catalog, Condition, FieldException, FieldStrategy, ForeignKey, MorphRelation, Rule, SpecError, Strategy, SubsetSpec, Table, Take,
+    Binding, Catalog, Condition, FieldException, FieldStrategy, ForeignKey, LocaleSource, MorphRelation, Rule, SpecError, Strategy, SubsetSpec, Table, Take,
 )
 from cohort.functions.generators import GENERATORS, domain_of, generate, id_local_part
 from cohort.functions.jsonpath import discover, rewrite
@@ -161,7 +161,31 @@ def test_links(spark):
     assert links[0].morphs == (morph,)
 
 
+def test_neq_of_unreadable_constants(spark):
+    df = spark.createDataFrame([(1, 10), (2, None), (3, 30)], "id long, n long")
+    for value, want in (("abc", [1, 3]), ("1.5", [1, 3]), (10, [3]), ("10", [3])):
+        for nulls in (True, False):
+            rule = Rule("t", (Condition("n", "neq", value, include_nulls=nulls),))
+            assert ids(matching(df, rule, "id", NOW)) == sorted(want + [2] * nulls), (value, nulls)
+
+
+def test_clashing_column_names(spark):
+    odd = ["entity", "entity_country", "pk_", "flag_", "identity_", "who_", "known_", "country_", "kept_", "won_", "listed_", "entity_", "known_country_"]
+    users = spark.createDataFrame([(i, f"u{i}@x.org", "DE", *["keep"] * len(odd)) for i in (1, 2)], ["id", "email", "land", *odd])
+    catalog = Catalog({"users": Table("users", ("id",), unique=("email",))})
+    spec = SubsetSpec(
+        rules=(Rule("users", (Condition("id", "in", list(range(1, 1500))),)),), strategies=(FieldStrategy("users", "email", Strategy("fake", "userIdEmail")),),
+        locales=(LocaleSource("users", "land"),),
+    )
+    out = subset({"users": users}, catalog, spec, NOW).tables["users"]
+    assert out.columns == users.columns and ids(out) == [1, 2]
+    assert {r[c] for r in out.collect() for c in odd} == {"keep"}
+    assert not {r.email for r in out.collect()} & {"u1@x.org", "u2@x.org"}
+
+
 def test_names():
+    assert [snake_case(n) for n in ("OAuth2Token", "user_Name", "Order-Line item", "plain")] == ["o_auth2_token", "user_name", "order_line_item", "plain"]
+    assert guess_table("Boy", ["boies", "boys"]) == "boys" and guess_table("Box", ["boxs", "boxes"]) == "boxes"
     assert snake_case("APIClientKey") == "api_client_key"
     tables = ["addresses", "categories", "users", "news"]
     assert [guess_table(v, tables) for v in ("App\\Models\\Address", "Category", "User", "news", "Ghost", "")] == ["addresses", "categories", "users", "news", None, None]
