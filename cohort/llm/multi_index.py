@@ -118,14 +118,14 @@ def near_duplicates(
 
     Links join rows of equal label whose cosine is at least ``threshold``; every reported link is exact.  Rows with a
     null label or a vector that is null, empty, zero or not finite link with nothing.  Vectors of different
-    length do not link.  Repeated rows count as rows of their own; null ids link, but name no component.  An empty table
+    length do not link; each length has jobs of its own.  Repeated rows count as rows of their own; null ids link, but name no component.  An empty table
     gives an empty result.
     """
     spark = vectors.sparkSession
     keyed = _classes(vectors, id_col, vector_col, label_col).withColumn("dim", F.size("v"))
     # a class is named by a hash of its content; equal hashes of different vectors would need 2^32 classes to be likely
     classes = checkpointed(keyed.withColumn("cls", F.xxhash64("label", "v")))
-    shapes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).orderBy(F.desc("n")).limit(64).collect()
+    shapes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).orderBy("dim").collect()
     found = [_links_of_width(classes.where(F.col("dim") == s.dim), s.n, s.labels, threshold, target_recall) for s in shapes if s.n > 1]
     nothing = spark.createDataFrame([], "cls long, links long, root long")
     links = nothing
