@@ -90,8 +90,10 @@ def token_counts(urls: DataFrame, rules: list[Rule]) -> dict[str, int]:
     if not literals:
         return {}
     known = spark.createDataFrame([(t,) for t in literals], "token string")
+    # counted before the join: of a token that stands in most URLs, each task hands on one row
     seen = urls.select(F.explode(F.array_distinct(F.split(F.lower("url"), "[^0-9a-z]+"))).alias("token"))
-    return {r.token: r.n for r in seen.join(known, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return {r.token: r.n for r in counts.join(known, "token", "left_semi").collect()}
 
 
 def build_index(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[Rule]]:
