@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,14 +27,47 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a folder of this machine only where there is no other (``local``)."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohort-"))
+    return named or sc.getCheckpointDir()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage in the cluster's shared folder: every later read sees the same rows, whatever executors are lost."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cohort-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``df`` plus ``out``, each row's place from 0 within its group by ``order``, materialized.
+
+    Rows are dealt by ranges of (group, order) and counted; a row's place is the sum of the counts before its range, its place in
+    the range, and less the first place of its group.  No window: a group with most of the rows lies in many ranges, and equal
+    rows, too.  Null groups and keys come first.  One number a range goes through the driver.
+    """
+    at, range_, first, start = fresh(df, "at_", "range_", "first_", "start_")
+    marked = df.withColumn(at, F.monotonically_increasing_id())  # keeps equal rows apart, so that they can be dealt to many ranges
+    keys = [ref(c) for c in (*group, *order, at)]
+    dealt = materialize(marked.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()))
+    dealt = dealt.withColumn(range_, F.shiftright(ref(at), 33)).withColumn(at, ref(at).bitwiseAND((1 << 33) - 1))
+    starts, total = [], 0
+    for r in dealt.groupBy(range_).count().orderBy(range_).collect():
+        starts.append((r[0], total))
+        total += r[1]
+    begins = df.sparkSession.createDataFrame(starts, f"`{range_}` long, `{start}` long")
+    placed = dealt.join(F.broadcast(begins), range_).withColumn(at, ref(at) + ref(start)).drop(range_, start)
+    if not group:
+        return placed.withColumnRenamed(at, out)
+    heads = placed.groupBy(*[ref(c).alias(f"{first}{i}") for i, c in enumerate(group)]).agg(F.min(at).alias(first))
+    same = [ref(c).eqNullSafe(ref(f"{first}{i}")) for i, c in enumerate(group)]
+    return placed.join(heads, same).withColumn(at, ref(at) - ref(first)).withColumnRenamed(at, out).select(*[ref(c) for c in df.columns], ref(out))
+
+
 def as_type(c: Column, want: T.DataType, have: T.DataType) -> Column:
     """``c`` compared as ``want``: a value that cannot be read so is null, never an error."""
     return c if want == have else c.try_cast(want)
