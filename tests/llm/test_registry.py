@@ -15,7 +15,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_same_as_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{FOLDER}/pages.parquet'")
+    for t in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     found = con.execute(registry.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
     ours = registry.QUERIES[name](spark, FOLDER)
@@ -32,6 +33,7 @@ def test_rows_and_columns(spark):
         "op8_sentencepiece": ["doc_id", "n_tokens", "ids", "round_trip"],
         "op9_mixing": ["doc_id", "size", "source_size", "target", "taken"],
         "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op12_quality": ["doc_id", "held_out", "score", "predicted"],
     }.items():
         out = registry.QUERIES[name](spark, FOLDER)
         assert out.columns == columns and out.count() == docs, name
