@@ -39,6 +39,14 @@ _ESCAPE = re.compile(
     r"((?:\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}))|\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})"
     r"|\\x([0-9a-fA-F]{2})|&\#[xX]([0-9a-fA-F]{1,6});|&\#([0-9]{1,7});"
 )
+#: Percent-encoding and escapes are unwrapped one by one to this depth, and beyond it all at once, so that the work stays linear.
+DEEP = 8
+#: Encodings of a mark that starts an encoding: what stays is the mark, and the last of them.
+_CHAIN = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})|\\(?:u005[cC]|x5[cC]|u\{0*5[cC]\}|U0000005[cC])+|&(?:\#0*38;|\#[xX]0*26;)+")
+_CLOSES = frozenset("0123456789abcdefABCDEF;}")
+_CLOSED = re.compile(rf"(?:%([0-9A-Fa-f]{{2}})|({_ESCAPE.pattern}))\Z")
+#: Longest escape.
+_LONGEST = 12
 #: Shortest base64 run that is unwrapped; shorter ones cannot hold an assignment with a value.
 MIN_BASE64 = 16
 _BREAK = r"[\x20\t]*\r?\n[\x20\t]*"
@@ -90,6 +98,8 @@ class Layer:
     text: str
     starts: list[int] | range
     ends: list[int] | range
+    #: Layers of percent-encoding and escapes above it, with nothing else between.
+    depth: int = 0
 
     def key(self) -> tuple[bytes, int, int]:
         digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -115,7 +125,7 @@ class _Builder:
 
     def layer(self) -> Iterator[Layer]:
         if self.changed and self.starts:
-            yield Layer("".join(self.parts), self.starts, self.ends)
+            yield Layer("".join(self.parts), self.starts, self.ends, self.parent.depth + 1)
 
 
 def _utf8_chars(raw: bytes) -> Iterator[tuple[str, int, int]]:
@@ -141,16 +151,24 @@ def _unpercent(layer: Layer) -> Iterator[Layer]:
     yield from b.layer()
 
 
+def _code(m: re.Match, first: int = 1) -> int:
+    """The character number that a match of ``_ESCAPE`` stands for; its groups begin at ``first``."""
+    pair, *hexed, decimal = (m[first + i] for i in range(7))
+    if pair:
+        return 0x10000 + ((int(pair[2:6], 16) & 0x3FF) << 10) + (int(pair[8:12], 16) & 0x3FF)
+    return int(decimal) if decimal else int(next(filter(None, hexed)), 16)
+
+
+def _is_char(code: int) -> bool:
+    return code <= 0x10FFFF and not 0xD800 <= code < 0xE000
+
+
 def _unescape(layer: Layer) -> Iterator[Layer]:
     if "\\" not in layer.text and "&#" not in layer.text:
         return
     b, at = _Builder(layer), 0
     for m in _ESCAPE.finditer(layer.text):
-        if m[1]:
-            code = 0x10000 + ((int(m[1][2:6], 16) & 0x3FF) << 10) + (int(m[1][8:12], 16) & 0x3FF)
-        else:
-            code = int(m[7]) if m[7] else int(m[2] or m[3] or m[4] or m[5] or m[6], 16)
-        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+        if not _is_char(code := _code(m)):
             continue
         b.copy(at, m.start())
         b.put(chr(code), m.start(), m.end())
@@ -159,6 +177,37 @@ def _unescape(layer: Layer) -> Iterator[Layer]:
     yield from b.layer()
 
 
+def _peeled(layer: Layer) -> Iterator[Layer]:
+    """Chains of encoded marks cut down to their last link, and all that percent-encoding and escapes lead to, each in one pass."""
+    b, at = _Builder(layer), 0
+    for m in _CHAIN.finditer(layer.text):
+        b.copy(at, m.start())
+        b.put(m[0][0], m.start(), m.end())
+        at = m.end()
+    b.copy(at, len(layer.text))
+    yield from b.layer()
+    chars: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    changed = False
+    for c, start, end in zip(layer.text, layer.starts, layer.ends, strict=True):
+        while True:
+            chars.append(c)
+            starts.append(start)
+            ends.append(end)
+            m = c in _CLOSES and _CLOSED.search("".join(chars[-_LONGEST:]))
+            if not m:
+                break
+            code = int(m[1], 16) if m[1] else _code(m, 3)
+            if not _is_char(code):
+                break
+            n = m.end() - m.start()
+            c, start, changed = chr(code) if code < 128 or not m[1] else "\ufffd", starts[-n], True  # and once more: it may close another
+            del chars[-n:], starts[-n:], ends[-n:]
+    if changed:
+        yield Layer("".join(chars), starts, ends, layer.depth + 1)
+
+
 def _reader(raw: bytes | mmap.mmap, at: int):
     if raw[at] == 0x1F or raw[at] == 0x78:
         return zlib.decompressobj(31 if raw[at] == 0x1F else 15)
@@ -325,7 +374,7 @@ def _unspell(layer: Layer) -> Iterator[Layer]:
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
-    for unwrap in (_unpercent, _unescape, _unspell, _unbase64):
+    for unwrap in ((_unpercent, _unescape) if layer.depth < DEEP else (_peeled,)) + (_unspell, _unbase64):
         yield from unwrap(layer)
 
 
@@ -373,7 +422,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, n_assign, n_access, n_hex, base_sha256, spans)`` for every row.
 
     Null texts are empty texts, without spans.  Repeated rows each get their row, null ids stay null, extra columns are
-    ignored, an empty table gives an empty result.
+    ignored, an empty table gives an empty result.  Very long texts are scanned whole; encodings nested in each other take time in
+    proportion to the text, however deep.
     """
 
     @F.pandas_udf(SCAN)
@@ -386,7 +436,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with secrets in the text replaced, encoded ones with their whole wrapping; null texts stay null.
 
-    All columns stay; ``chars_col``, if there, is counted anew for texts that changed.
+    All columns stay, whatever their names; ``chars_col``, if there, is counted anew for texts that changed.  Repeated rows are each
+    masked, very long texts whole; an empty table stays empty.
     """
 
     @F.pandas_udf("string")

@@ -175,6 +175,40 @@ def test_percent_with_bytes_that_are_not_utf8():
     assert kinds(text) == {0} and "61%62%63" not in s.redacted(text, "[S]")
 
 
+NESTED = {
+    "percent": lambda n, t: "%" + "25" * n + t.replace("%", ""), "escape": lambda n, t: "\\" + "u005c" * n + "u" + t.replace("%", "00"),
+    "entity": lambda n, t: "&" + "#38;" * n + "#x" + t.replace("%", "") + ";", "digits": lambda n, t: "%2" * n + "%35" + "35" * (n - 1) + t.replace("%", ""),
+}
+
+
+@pytest.mark.parametrize("kind", NESTED)
+@pytest.mark.parametrize("n", [1, 3, 7, 8, 9, 30])
+def test_any_depth(kind, n):
+    text = "x tok" + NESTED[kind](n, "%65") + "n=abcdefgh y"
+    assert any(k == 0 and a == 2 and z == len(text) - 2 for a, k, z in s.all_spans(text, [])), text
+
+
+@pytest.mark.parametrize("kind", NESTED)
+def test_deep_nesting_is_linear(kind):
+    import time
+    import tracemalloc
+
+    text = NESTED[kind](200_000 // len(NESTED[kind](1, "")), "%65") + " token=abcdefgh"
+    began = time.process_time()
+    assert any(k == 0 for _, k, _ in s.all_spans(text, []))
+    assert time.process_time() - began < 4
+    tracemalloc.start()
+    s.all_spans(text[: len(text) // 4] + " token=abcdefgh", [])
+    assert tracemalloc.get_traced_memory()[1] < 75 << 20  # of a quarter of the text
+    tracemalloc.stop()
+
+
+def test_deep_nesting_of_packed_bytes():
+    packed = "".join(f"{b:02X}" for b in gzip.compress(SECRET.encode()))
+    text = "".join("%" + "25" * 20 + packed[i : i + 2] for i in range(0, len(packed), 2))
+    assert kinds(f"go {text} on") >= {0}
+
+
 def test_frames(spark):
     rows = [(1, SECRET, "en", 0), (1, SECRET, "en", 0), (None, None, None, None), (2, "", "x", 0), (3, "clean text", "x", 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
