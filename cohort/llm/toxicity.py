@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh, ref
@@ -68,11 +68,13 @@ def squeezed(token: str) -> str:
 
 
 _SQUEEZED = frozenset(map(squeezed, INSULTS))
+#: Signs in a masked word stand for one letter each, so longer tokens mask none of these.
+_LONGEST = max(map(len, INSULTS))
 
 
 def masked_as(token: str) -> re.Pattern | None:
-    """A pattern for a token with signs in place of letters (``st*pid``), None for others."""
-    if "*" in token or "#" in token:
+    """A pattern for a token with signs in place of letters (``st*pid``), None for others and for those too long to mask an insult."""
+    if ("*" in token or "#" in token) and len(token) <= _LONGEST:
         return re.compile("".join("[a-z]" if c in "*#" else re.escape(c) for c in token))
     return None
 
@@ -103,10 +105,10 @@ def features_of(text: str | None, learned: dict[str, float], memo: dict[str, flo
     hidden = masked = 0
     for t in set(low.split()):
         core = t.strip(_EDGES)
-        if core.isalpha() or not 3 <= len(core) <= 30:
+        if core.isalpha() or len(core) < 3:
             continue
         mask = masked_as(core)
-        masked += mask is not None
+        masked += "*" in core or "#" in core
         hidden += squeezed(core) in _SQUEEZED or bool(mask and any(map(mask.fullmatch, INSULTS)))
     worst, lo, all_marks = 0, 0, sorted({*hits, *marks})
     for hi in range(len(all_marks)):
@@ -136,7 +138,7 @@ def with_features(docs: DataFrame, text_col: str, out: str, learned: dict[str, f
 
 @dataclass
 class ToxicityModel:
-    """Learned stems, trees and calibration; without the last two, the share of toxic training rows."""
+    """Learned stems, trees and calibration; without the last two, ``prior`` if all labels were toxic, else the lexicon alone."""
 
     learned: dict[str, float]
     prior: float
@@ -144,9 +146,16 @@ class ToxicityModel:
     calibration: IsotonicRegressionModel | None = None
 
     def score(self, docs: DataFrame, text_col: str, out: str) -> DataFrame:
-        """``docs`` plus a score from 0 to 1 of every text, null and empty ones too."""
+        """``docs`` plus a score from 0 to 1 of every text, read whole, however long; null and empty ones have one, too.
+
+        Equal texts have equal scores; an empty table stays empty; other columns, whatever their names, stay.
+        """
+        if self.trees is None and self.prior == 1.0:
+            return docs.withColumn(out, F.lit(1.0))
         if self.trees is None:
-            return docs.withColumn(out, F.lit(self.prior))
+            (feats,) = fresh(docs, "features_")
+            worst, any_insult = (ref(feats)[FEATURES.index(f)] for f in ("worst", "any_insult"))
+            return with_features(docs, text_col, feats, {}).withColumn(out, 1.0 - F.exp(-(12.0 * worst + 0.25 * any_insult))).drop(feats)
         feats, vec, raw, chance, label, p = fresh(docs, "features_", "vector_", "raw_", "chance_", "label_", "p_")
         marked = with_features(docs, text_col, feats, self.learned).withColumn(vec, array_to_vector(ref(feats)))
         trees = self.trees.copy().setFeaturesCol(vec).setRawPredictionCol(raw).setProbabilityCol(chance).setPredictionCol(label)
@@ -165,9 +174,12 @@ def _label_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
         .withColumn("h", F.xxhash64("id"))
         .orderBy("h", "id").limit(fit_rows)
     )
+    # each label is dealt to all parts, however few rows it has; the window is over at most `fit_rows` rows
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))
+    parted = y.select("id", "label", F.pmod(turn, F.lit(5)).cast("int").alias("part"))
     rows = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text")).where("text IS NOT NULL")
     # at most `fit_rows` small rows, so a broadcast of bounded size
-    return rows.join(F.broadcast(y), "id").select("id", "text", "label", F.pmod(F.shiftright("h", 8), F.lit(5)).cast("int").alias("part"))
+    return rows.join(F.broadcast(parted), "id").select("id", "text", "label", "part")
 
 
 def learn_stems(rows: DataFrame, most: int = LEARNED_STEMS) -> dict[str, float]:
@@ -194,14 +206,14 @@ def learn_stems(rows: DataFrame, most: int = LEARNED_STEMS) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Stems from three parts in five of the labelled rows, trees from those and a fourth, calibration from the fifth.
 
-    Labels that are null or not 0 or 1 are ignored; an id labelled twice is toxic if either label says so.  With no
-    toxic or no clean row in some part, the model gives the share of toxic rows as every score.
+    Labels that are null or not 0 or 1 are ignored; an id labelled twice is toxic if either label says so.  Where a part has
+    no toxic or no clean row (fewer than five of them, or texts missing), nothing is learned and the lexicon alone scores.
     """
     rows = checkpointed(_label_rows(docs, labels, id_col, text_col, label_col, fit_rows))
     counts = {(r.held, r.label): r.n for r in rows.groupBy((F.col("part") == 4).alias("held"), "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     prior = sum(n for (_, y), n in counts.items() if y == 1) / total if total else 0.0
-    if not all(counts.get((held, y)) for held in (False, True) for y in (0, 1)):
+    if not all(counts.get((held, y)) for held in (False, True) for y in (0, 1)) or any(sum(n for (_, z), n in counts.items() if z == y) < 5 for y in (0, 1)):
         return ToxicityModel({}, prior)
     learned = learn_stems(rows.where("part < 3"))
     table = with_features(rows, "text", "f", learned).select("label", "part", array_to_vector("f").alias("features"))

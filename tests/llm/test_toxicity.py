@@ -59,3 +59,42 @@ def test_features():
     assert one("GRUMPY CAPS!!")["capitals"] == 1.0 and one("grumpy")["learned"] == 1.0
     diluted = one("word " * 5000 + "idiot moron scum " * 5)
     assert diluted["insults"] < 0.01 < diluted["worst"]
+
+
+def test_features_of_each_token_plainly():
+    """Lexicon features against a plain reading of each token, one after the other."""
+    texts = ["you are an idiot", "1d10t! and st*pid", "such a " + "i" * 20 + "d" * 10 + "1" * 9 + "ooo" + "t" * 9, "c*wn cl*wn #diot " + "*" * 50, "A" * 60 + "#x", "fine words only", "crap! CRAP crap,"]
+    for text in texts:
+        got = dict(zip(t.FEATURES, t.features_of(text, {}, {}), strict=True))
+        words = ["".join(c) for c in t._LETTERS.findall(text.lower())]
+        plain = sum(w in t.INSULTS for w in words)
+        hidden = masked = 0
+        for token in {x.strip(t._EDGES) for x in text.lower().split()} if len(set(text.lower().split())) == len({x.strip(t._EDGES) for x in text.lower().split()}) else []:
+            if len(token) < 3 or token.isalpha():
+                continue
+            fits = ("*" in token or "#" in token) and any(len(w) == len(token) and all(a in "*#" or a == b for a, b in zip(token, w, strict=True)) for w in t.INSULTS)
+            masked += "*" in token or "#" in token
+            hidden += fits or t.squeezed(token) in {t.squeezed(w) for w in t.INSULTS}
+        assert got["insults"] * len(words) == plain, text
+        if "crap" not in text:
+            assert round(got["hidden"] * max(len(words), 1)) == hidden and round(got["masked"] * max(len(words), 1)) == masked, text
+    long = dict(zip(t.FEATURES, t.features_of(texts[2], {}, {}), strict=True))
+    assert long["hidden"] > 0
+
+
+def test_few_labels_still_tell_texts_apart(spark):
+    docs, labels = corpus(40)
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    model = t.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.trees is not None  # eight toxic rows, in all five parts
+    four = t.fit(df, spark.createDataFrame([r for r in labels if not r[1]] + [r for r in labels if r[1]][:4], "doc_id long, toxic int"))
+    assert four.trees is None
+    scores = {r.doc_id: r.p for r in four.score(df, "text", "p").collect()}
+    insulting = {i: any(w in t.INSULTS for w in text.lower().split()) or "1diot" in text for i, text, _ in docs}
+    assert sum(insulting.values()) >= 5 and all((scores[i] >= t.THRESHOLD) == insulting[i] for i, _ in labels)
+
+
+def test_parts_have_both_labels(spark):
+    docs, labels = corpus(60)
+    rows = t._label_rows(spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id", "text", "toxic", 1000)
+    assert {(r.part, r.label) for r in rows.collect()} == {(p, y) for p in range(5) for y in (0, 1)}
