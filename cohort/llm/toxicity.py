@@ -155,7 +155,7 @@ class ToxicityModel:
         if self.trees is None:
             (feats,) = fresh(docs, "features_")
             worst, any_insult = (ref(feats)[FEATURES.index(f)] for f in ("worst", "any_insult"))
-            return with_features(docs, text_col, feats, {}).withColumn(out, 1.0 - F.exp(-(12.0 * worst + 0.25 * any_insult))).drop(feats)
+            return with_features(docs, text_col, feats, {}).withColumn(out, 1.0 - F.exp(-(12.0 * worst + 0.4 * any_insult))).drop(feats)
         feats, vec, raw, chance, label, p = fresh(docs, "features_", "vector_", "raw_", "chance_", "label_", "p_")
         marked = with_features(docs, text_col, feats, self.learned).withColumn(vec, array_to_vector(ref(feats)))
         trees = self.trees.copy().setFeaturesCol(vec).setRawPredictionCol(raw).setProbabilityCol(chance).setPredictionCol(label)
