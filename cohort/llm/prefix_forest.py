@@ -4,7 +4,7 @@ Every tree turns a vector into a long string of hash bits: sides of hyperplanes
 sample's median.  For inner products, vectors are lengthened by one component to equal norm first, which keeps the order.  A tree is a
 sorted array of these strings.  A query descends in every tree to the longest prefix it shares with any vector, then ascends in all
 trees together, one bit at a time (on the last level tree by tree), until the vectors under its prefixes number at least the
-wanted candidates; those, each once, are scored exactly.
+wanted candidates, and are at least ``k`` different ones besides itself; those, each once, are scored exactly.
 
 On Spark the vectors are dealt evenly over blocks by a hash of their id, each with a forest of its own; the forest of the
 table is their union.  A task holds one block of vectors and one of queries, whatever the table's size and however many
@@ -93,14 +93,26 @@ class Forest:
         goes_up = (deep_z - deep_a).sum(axis=0) + np.cumsum(more, axis=0) - more < wanted
         return np.where(goes_up, a, deep_a), np.where(goes_up, z, deep_z)
 
-    def candidates(self, strings: np.ndarray, wanted: float):
-        """Rows found for each query in turn, every row once, in rising order."""
+    def candidates(self, strings: np.ndarray, wanted: float, least: int = 0):
+        """Rows found for each query in turn, every row once, in rising order.
+
+        The trees may find the same few rows (copies of the query, say): a query goes on up, wanting twice as many each time, until
+        it has ``least`` different rows, or all there are.
+        """
         low, high = self.ascend(strings, wanted)
+        least = min(least, self.rows)
         for q in range(len(strings)):
-            hit = np.zeros(self.rows, dtype=bool)
-            for order, a, z in zip(self.order, low[:, q], high[:, q], strict=True):
-                hit[order[a:z]] = True
-            yield np.flatnonzero(hit)
+            a, z, more = low[:, q], high[:, q], wanted
+            while True:
+                hit = np.zeros(self.rows, dtype=bool)
+                for order, x, y in zip(self.order, a, z, strict=True):
+                    hit[order[x:y]] = True
+                found = np.flatnonzero(hit)
+                if len(found) >= least:
+                    break
+                more = 2 * max(more, int((z - a).sum()))
+                a, z = (side[:, 0] for side in self.ascend(strings[q : q + 1], more))
+            yield found
 
 
 def query_strings(x: np.ndarray, planes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -131,8 +143,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
 
     A query's own row (same id) is no candidate.  Ties go to the smaller id.  Rows with null ids, or vectors that are null,
     empty, zero or not finite, take no part; a query's candidates are the vectors of its length (each length has
-    a forest and jobs of its own); repeated rows of one id count once (the smallest vector).  Extra columns are ignored.  Empty
-    tables give an empty result.
+    a forest and jobs of its own); repeated rows of one id count once (the smallest vector).  A query has fewer than ``k`` rows only
+    where there are fewer candidates.  Extra columns are ignored, whatever their names.  Empty tables give an empty result.
     """
     spark = vectors.sparkSession
 
@@ -182,7 +194,7 @@ def _search(data: DataFrame, asked: DataFrame, longest: float, parts: int, query
         if len(x) and len(y):
             p, c = shared.value
             forest = Forest(hash_strings(lengthened(x, longest), p, c))
-            for q, v, near in zip(asking, y, forest.candidates(query_strings(y, p, c), max(4.0 * k, share * len(x))), strict=True):
+            for q, v, near in zip(asking, y, forest.candidates(query_strings(y, p, c), max(4.0 * k, share * len(x)), k + 1), strict=True):
                 near = near[own[near] != q]
                 score = x[near] @ v
                 if len(near) > k:

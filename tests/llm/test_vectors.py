@@ -162,6 +162,31 @@ def test_ascent_is_the_bitwise_one():
             assert set(found.tolist()) == set().union(*under)
 
 
+def test_nearest_among_copies(spark):
+    """Clustered vectors, some with exact copies that every tree finds first: still 20 rows for each query."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((200, 16))
+    rows = [(i, (centres[i % 200] + rng.standard_normal(16) * 0.05).tolist(), 1, 0) for i in range(4000)]
+    for c, i in enumerate((0, 20, 40)):
+        rows += [(4000 + 20 * c + j, rows[i][1], 1, 0) for j in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in prefix_forest.nearest_neighbours(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute_top(rows, 20)
+    assert got.keys() == want.keys() and all(len(set(v)) == len(v) == 20 for v in got.values())
+    assert sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_ascent_goes_on_for_different_rows():
+    strings = np.repeat(np.arange(30, dtype=np.int64)[:, None], prefix_forest.TREES, axis=1) << 30
+    strings[:10] = strings[0]
+    forest = prefix_forest.Forest(strings)
+    for least in (1, 10, 11, 25, 30, 99):
+        (found,) = forest.candidates(strings[:1], 20.0, least)
+        assert len(found) >= min(least, 30) and set(range(10)) <= set(found.tolist())
+
+
 def test_nearest_on_the_given_vectors(spark):
     """Recall against brute force over a whole table of little structure (the best products are near 0.4)."""
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
