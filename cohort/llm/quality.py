@@ -1,7 +1,7 @@
 """Quality: votes of the nearest labelled documents in a latent-semantic space.
 
-A document is two blocks of hashed terms, words and forms (the shape of each word: letters, capitals, digits and signs as they follow each
-other; words that repeat at once), each with sublinear counts times inverse document frequency, and of unit length.  Document
+A document is two blocks of hashed terms, beginnings of words and forms (the shape of each word: letters, capitals, digits and signs as
+they follow each other; words that repeat at once), each with sublinear counts times inverse document frequency, and of unit length.  Document
 frequencies are counted over all documents.  The latent space is spanned by the leading right singular vectors of the labelled rows' term matrix,
 from its Gram matrix, which Spark sums over the rows.  Labelled vectors are few (``FIT_ROWS``) and short, and are broadcast; every
 document, in blocks, is compared with all of them by exact cosine, and the labels of its nearest vote by their similarity.
@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from zlib import crc32
@@ -37,69 +36,91 @@ POWER = 8
 PARTS = 4
 #: Similarities closer than this are ties; all voters that tie with the last have a vote.
 TIE = 1e-9
-#: Characters split into words at once, and words that a task remembers.
+#: Letters of a word that count.
+STEM = 4
+#: Characters split into words at once, and terms that a task remembers.
 STRETCH, REMEMBERED = 1 << 20, 50_000
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
-_LOWER, _UPPER, _DIGITS = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
-_REPEATED = re.compile(r"(.)\1+")
+_LETTER, _CAPITAL, _REPEATED = re.compile(r"[^\W\d_]"), re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"(.)\1+")
 
 
-def form_of(word: str) -> str:
-    """``And&&&`` is ``Aa&``: runs of small letters, capitals, digits or one sign each as one character."""
-    return _REPEATED.sub(r"\1", _DIGITS.sub("0", _LOWER.sub("a", _UPPER.sub("A", word))))
+class _Shapes(dict):
+    """Small letters as ``a``, capitals as ``A``, digits as ``0``, all else as it is."""
 
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "0" if c.isdecimal() else c if not _LETTER.match(c) else "A" if _CAPITAL.match(c) else "a"
+        return self[code]
 
-def stretches(text: str) -> Iterator[list[str]]:
-    """The words of a text, in lists of bounded size (a long word stays whole)."""
+
+_SHAPE_OF = _Shapes()
+
+
+def forms_of(stretch: str) -> str:
+    """A stretch with each run of small letters, capitals or digits as one character: ``And&&& x`` is ``Aa&&& a``."""
+    out = stretch.translate(_SHAPE_OF)
+    for c in ("a", "A", "0"):
+        while c + c in out:
+            out = out.replace(c + c, c)
+    return out
+
+
+def stretches(text: str) -> Iterator[str]:
+    """A text in parts of bounded size, cut at white space (a long word stays whole)."""
     start = 0
     while start < len(text):
         if len(text) - start > STRETCH and (cut := _SPACE.search(text, start + STRETCH)):
             end = cut.start()
         else:
             end = len(text)
-        yield text[start:end].split()
+        yield text[start:end]
         start = end
 
 
-def terms_of(text: str | None, memo: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and counts of a whole text: words, then forms.  A text without words has one form of its own."""
-    counts: Counter[int] = Counter()
-    last: list[str] = []
-    for words in stretches(text or ""):
-        for word, n in Counter(words).items():
-            known = memo.get(word)
-            if known is None:
-                known = crc32(word.lower().encode()) % WORD_TERMS, WORD_TERMS + crc32(form_of(word).encode()) % FORM_TERMS
-                if len(memo) < REMEMBERED and len(word) < 64:
-                    memo[word] = known
-            counts[known[0]] += n
-            counts[known[1]] += n
-        for lag in (1, 2):
-            row = last[-lag:] + words
-            again = sum(map(str.__eq__, row, row[lag:]))
-            if again:
-                counts[WORD_TERMS + crc32(b"again %d" % lag) % FORM_TERMS] += again
-        last = (last + words)[-2:]
-    if not counts:
-        counts[WORD_TERMS + crc32(b"empty") % FORM_TERMS] = 1
-    return np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
-
-
-def weighted(texts: Iterator[str | None], idf: np.ndarray, memo: dict) -> np.ndarray:
+class Numbers(dict):
+    """Numbers of terms by their text, for one of the two blocks; remembers some for a task."""
+
+    def __init__(self, first: int, size: int):
+        super().__init__()
+        self.first, self.size = first, size
+
+    def __missing__(self, term: str) -> int:
+        n = self.first + crc32(_REPEATED.sub(r"\1", term).encode() if self.first else term.encode()) % self.size
+        if len(self) < REMEMBERED and len(term) < 64:
+            self[term] = n
+        return n
+
+
+class Terms:
+    """Counts the terms of texts; one for a task."""
+
+    def __init__(self):
+        self.stems, self.forms = Numbers(0, WORD_TERMS), Numbers(WORD_TERMS, FORM_TERMS)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """How often a whole text has each term: beginnings of words, then forms.  A text without words has one form of its own."""
+        counts = np.zeros(TERMS, np.int64)
+        last = np.zeros(0, np.int64)
+        for stretch in stretches(text or ""):
+            words = stretch.lower().split()
+            numbers = [*map(self.stems.__getitem__, [w[:STEM] for w in words]), *map(self.forms.__getitem__, forms_of(stretch).split())]
+            counts += np.bincount(numbers, minlength=TERMS) if numbers else 0
+            row = np.concatenate([last, np.fromiter(map(hash, words), np.int64, len(words))])
+            for lag in (1, 2):
+                old = max(0, len(last) - lag)  # pairs within the last stretch are counted
+                counts[self.forms[f" again {lag}"]] += np.count_nonzero(row[old + lag :] == row[old : len(row) - lag]) if len(row) > lag else 0
+            last = row[-2:]
+        if not counts.any():
+            counts[self.forms[" empty"]] = 1
+        return counts
+
+
+def weighted(texts: Iterable[str | None], idf: np.ndarray, terms: Terms) -> np.ndarray:
     """A row of term weights for each text, both blocks of unit length (or zero)."""
-    rows = []
-    for text in texts:
-        row = np.zeros(TERMS)
-        at, n = terms_of(text, memo)
-        row[at] = 1.0 + np.log(n)
-        row *= idf
-        for block in (row[:WORD_TERMS], row[WORD_TERMS:]):
-            length = math.sqrt(float(block @ block))
-            if length:
-                block /= length
-        rows.append(row)
-    return np.array(rows).reshape(-1, TERMS)
+    counts = np.array([terms(t) for t in texts]).reshape(-1, TERMS)
+    rows = np.where(counts > 0, 1.0 + np.log(np.maximum(counts, 1)), 0.0) * idf
+    return np.hstack([unit(rows[:, :WORD_TERMS]), unit(rows[:, WORD_TERMS:])])
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -111,11 +132,11 @@ def document_frequencies(texts: DataFrame, text_col: str) -> tuple[int, np.ndarr
     """Number of all documents, and of those with each term; what comes to the driver has the size of the term space."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, tuple[int, int]] = {}
+        terms = Terms()
         seen = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
             for text in batch["text"]:
-                seen[terms_of(text, memo)[0]] += 1
+                seen[:TERMS] += terms(text) > 0
             seen[TERMS] += len(batch)
         found = np.flatnonzero(seen)
         yield pd.DataFrame({"term": found, "n": seen[found]})
@@ -131,11 +152,11 @@ def gram(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
     """The Gram matrix of the rows' term weights: one partial matrix for each of few partitions, summed in their order."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, tuple[int, int]] = {}
+        terms = Terms()
         total = np.zeros((TERMS, TERMS))
         for batch in batches:
             for lo in range(0, len(batch), ROWS):
-                block = weighted(batch["text"][lo : lo + ROWS], idf, memo)
+                block = weighted(batch["text"][lo : lo + ROWS], idf, terms)
                 total += block.T @ block
         yield pd.DataFrame({"cells": [total.tobytes()]})
 
@@ -155,14 +176,15 @@ class QualityModel:
     labels: np.ndarray | None = None
     counts_for: np.ndarray | None = None
 
-    def votes(self, texts: Iterator[str | None], memo: dict) -> np.ndarray:
+    def votes(self, texts: Iterable[str | None], terms: Terms) -> np.ndarray:
         """Scores of a block of texts; one that is like no labelled row has the share of label 1."""
-        found = unit(weighted(texts, self.idf, memo) @ self.basis) @ self.vectors.T
+        found = unit(weighted(texts, self.idf, terms) @ self.basis) @ self.vectors.T
         k = min(VOTERS, math.isqrt(found.shape[1] - 1) + 1)
         bound = np.partition(found, found.shape[1] - k, axis=1)[:, found.shape[1] - k, None]
-        weights = np.where(found >= bound - TIE, np.maximum(found, 0.0) ** POWER, 0.0) * self.counts_for
-        total = weights.sum(axis=1)
-        share = np.divide(weights @ self.labels, total, out=np.full(len(total), self.prior), where=total > 1e-12)
+        row, voter = np.nonzero(found >= bound - TIE)
+        weights = np.maximum(found[row, voter], 0.0) ** POWER * self.counts_for[voter]
+        total = np.bincount(row, weights, len(found))
+        share = np.divide(np.bincount(row, weights * self.labels[voter], len(found)), total, out=np.full(len(total), self.prior), where=total > 1e-12)
         return np.clip(np.round(share, 9), 0.0, 1.0)
 
     def score(self, docs: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -177,9 +199,9 @@ class QualityModel:
 
         @F.pandas_udf("double")
         def voted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            memo: dict[str, tuple[int, int]] = {}
+            terms = Terms()
             for texts in batches:
-                yield pd.Series(np.concatenate([model.value.votes(texts[lo : lo + ROWS], memo) for lo in range(0, len(texts), ROWS)] or [np.zeros(0)]))
+                yield pd.Series(np.concatenate([model.value.votes(texts[lo : lo + ROWS], terms) for lo in range(0, len(texts), ROWS)] or [np.zeros(0)]))
 
         return docs.withColumn(out, voted(ref(text_col).cast("string")))
 
@@ -221,9 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     basis = basis[:, np.argsort(values)[::-1][:TOPICS]]
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, tuple[int, int]] = {}
+        terms = Terms()
         for batch in batches:
-            found = unit(weighted(batch["text"], idf, memo) @ basis)
+            found = unit(weighted(batch["text"], idf, terms) @ basis)
             yield pd.DataFrame({"vector": list(found), "label": batch["label"]})
 
     voters = rows.mapInPandas(project, "vector array<double>, label int").collect()

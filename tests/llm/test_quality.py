@@ -41,14 +41,13 @@ def test_equals_brute_force(spark, fitted):
     """One text at a time, every voter by plain arithmetic; document frequencies from all texts."""
     df, _, _, model = fitted
     texts = [r.text for r in df.collect()]
-    counts = [dict(zip(*map(np.ndarray.tolist, q.terms_of(t, {})), strict=True)) for t in texts]
-    seen = np.array([sum(k in c for c in counts) for k in range(q.TERMS)])
+    seen = sum((q.Terms()(t) > 0).astype(int) for t in texts)
     assert np.allclose(model.idf, np.log((1 + len(texts)) / (1 + seen)) + 1, rtol=1e-12)
     got = [r.p for r in model.score(df, "text", "p").collect()]
     for text, score in list(zip(texts, got, strict=True))[:60]:
         row = np.zeros(q.TERMS)
-        for k, n in zip(*q.terms_of(text, {}), strict=True):
-            row[k] = (1 + np.log(n)) * model.idf[k]
+        for k, n in enumerate(q.Terms()(text)):
+            row[k] = (1 + np.log(n)) * model.idf[k] if n else 0.0
         for part in (slice(0, q.WORD_TERMS), slice(q.WORD_TERMS, q.TERMS)):
             row[part] /= np.linalg.norm(row[part]) or 1.0
         z = row @ model.basis
@@ -61,7 +60,7 @@ def test_equals_brute_force(spark, fitted):
 def test_space_is_the_leading_singular_vectors(spark, fitted):
     df, y, held, model = fitted
     rows = [r.text for r in df.join(y, "doc_id").where(~held).collect()]
-    x = q.weighted(rows, model.idf, {})
+    x = q.weighted(rows, model.idf, q.Terms())
     _, s, vt = np.linalg.svd(x, full_matrices=False)
     k = min(q.TOPICS, int((s > 1e-6 * s[0]).sum()))
     assert np.allclose(((x @ model.basis) ** 2).sum(), (s[:k] ** 2).sum(), rtol=1e-6)
@@ -75,7 +74,8 @@ def test_odd_texts(spark, fitted):
     scores = [r.p for r in out.collect()]
     assert all(0.0 <= p <= 1.0 for p in scores) and scores[0] == scores[1] == scores[2] and scores[5] == scores[6]
     assert model.score(df.limit(0), "text", "p").count() == 0
-    assert list(q.stretches("ab cd " * 300_000)) != [] and sum(map(len, q.stretches("ab cd " * 300_000))) == 600_000
+    parts = list(q.stretches("ab cd " * 300_000))
+    assert len(parts) == 2 and "".join(parts) == "ab cd " * 300_000
 
 
 def test_few_labels(spark, fitted):
@@ -97,6 +97,17 @@ def test_bounded_sample_stands_for_all(spark, fitted):
 
 
 def test_forms():
-    assert q.form_of("And&&&") == "Aa&" and q.form_of("x12-34") == "a0-0" and q.form_of("ÉTÉ") == "A"
-    at, n = q.terms_of("a a a", {})
-    assert sorted(n.tolist()) == [1.0, 2.0, 3.0, 3.0]
+    assert q.forms_of("And&&& x12-34 ÉTÉ") == "Aa&&& a0-0 A"
+    terms = q.Terms()
+    assert sorted(terms("a a a")[terms("a a a") > 0].tolist()) == [1, 2, 3, 3]
+    assert (terms("word! words")[: q.WORD_TERMS] == terms("Word Wordy")[: q.WORD_TERMS]).all()
+    signs = [frozenset(np.flatnonzero(terms(t)[q.WORD_TERMS :]).tolist()) for t in ("Ab&&&", "Xyz&", "ab&")]
+    assert signs[0] == signs[1] != signs[2]
+
+
+def test_stretches_change_nothing(monkeypatch):
+    text = "Aa bb!! cc 12 Aa Aa aa zz zz\nzz qq " * 40
+    whole = q.Terms()(text)
+    for size in (1, 7, 30, 200):
+        monkeypatch.setattr(q, "STRETCH", size)
+        assert (q.Terms()(text) == whole).all()
