@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows in a bucket, about.
+BUCKET_ROWS = 1_000_000
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``key`` and read it again.
+
+    As after ``materialize``, the rows are fixed and outlive executors.  Joins and aggregates on the key need no shuffle of
+    them, and the planner knows their size, so it broadcasts them where they are small.  The name in the catalog, without which
+    Spark writes no buckets, is gone when this returns; the files stay.
+    """
+    spark, name = df.sparkSession, f"cohort_{uuid.uuid4().hex}"
+    table = f"spark_catalog.default.{name}"
+    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved, so it does not need the name any more
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """``df`` plus ``out``, each row's place from 0 within its group by ``order``, materialized.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import Catalog, Rule, SpecError, SubsetSpec, Take
-from ..common import column_type, materialize, ref
+from ..common import BUCKET_ROWS, bucketed, column_type, materialize, ref
 from ..functions.predicates import matching
 
 
@@ -21,6 +21,14 @@ class Kept:
 
     rows: dict[str, DataFrame] = field(default_factory=dict)
     whole: set[str] = field(default_factory=set)
+    #: Buckets of each table's kept rows.
+    buckets: dict[str, int] = field(default_factory=dict)
+
+    def buckets_of(self, table: str, df: DataFrame) -> int:
+        """Buckets for the kept rows of ``df``, by its number of rows: the same in all rounds, so that rounds are co-located."""
+        if table not in self.buckets:
+            self.buckets[table] = -(-df.count() // BUCKET_ROWS) or 1
+        return self.buckets[table]
 
 
 def take(df: DataFrame, how: Take, key: str, seed: str = "") -> DataFrame:
@@ -73,7 +81,7 @@ def seed_rows(tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpe
         if key is None:
             raise SpecError(f"{table} has no single-column key, so rules cannot select its rows")
         rows = _merged([rule_rows(tables[table], r, key, now, seed) for r in rules])
-        kept.rows[table] = materialize(rows.select("pk", "anonymize", F.lit(None).cast("string").alias("identity")))
+        kept.rows[table] = bucketed(rows.select("pk", "anonymize", F.lit(None).cast("string").alias("identity")), "pk", kept.buckets_of(table, tables[table]))
         if any(r.keeps_all for r in rules):
             kept.whole.add(table)
     return kept, warnings

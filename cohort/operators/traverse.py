@@ -1,8 +1,11 @@
 """Fixpoints along references: downward cascade and upward backfill.
 
-Both are semi-naive loops over a frontier.  A round joins the frontier with every edge that leaves it, merges what arrives,
-and materializes the new kept set and frontier, so lineage stays short and rounds are bounded by the longest
-chain (plus flags that fall).  Kept rows never leave the cluster.
+Both are semi-naive loops over a frontier.  A round joins the frontier with every edge that leaves it, and writes what is new or
+changed; rounds are bounded by the longest chain (plus flags that fall).  Kept rows never leave the cluster.
+
+A kept set is a log of such deltas, bucketed by key: what a round writes follows what it finds, not what was found before, and
+nothing written is shuffled again, since arriving rows are dealt as the buckets are.  A small delta (the planner knows its size from its
+files) is broadcast, so a round with few new rows only scans the references.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, Edge, SubsetSpec
-from ..common import as_type, column_type, fresh, materialize, own_identity, ref
+from ..common import as_type, bucketed, column_type, fresh, own_identity, ref
 from .select import Kept
 
 KEPT = "pk", "anonymize", "identity"
@@ -53,11 +56,68 @@ def references_of(edge: Edge, child: DataFrame, child_key: str | None, rows: Dat
     return child.where(ref(edge.column).isNotNull()).select(fk.alias("ref"), ref(edge.column).cast("string").alias("spelled")).distinct()
 
 
-def cascade(kept: Kept, tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpec) -> list[str]:
+@dataclass
+class DeltaLog:
+    """A table's kept rows as deltas ``(pk, anonymize, identity, round)``, each bucketed by ``pk``.
+
+    A row may stand in many deltas: it is preserved if any says so, and has the first identity that any gives.  Two deltas are
+    merged when the later has grown to half of the earlier, so a row is written again only as often as the log doubles.
+    """
+
+    buckets: int
+    levels: list[tuple[DataFrame, int]] = field(default_factory=list)
+    #: Rows written, merges included.
+    written: int = 0
+
+    @classmethod
+    def of(cls, rows: DataFrame | None, buckets: int) -> DeltaLog:
+        log = cls(buckets)
+        if rows is not None:
+            log.levels.append((rows.withColumn("round", F.lit(0)), rows.count()))
+        return log
+
+    def rows(self, levels: Sequence[tuple[DataFrame, int]] | None = None) -> DataFrame:
+        """All rows, each once: a union and an aggregate without a shuffle."""
+        levels = self.levels if levels is None else levels
+        parts = [df.select("pk", "anonymize", "identity", "round") for df, _ in levels]
+        if len(parts) == 1:
+            return parts[0]
+        first = F.min(F.when(F.col("identity").isNotNull(), F.struct("round", "identity")))["identity"]
+        return reduce(DataFrame.unionByName, parts).groupBy("pk").agg(F.bool_and("anonymize").alias("anonymize"), first.alias("identity"), F.min("round").alias("round"))
+
+    def append(self, delta: DataFrame) -> DataFrame | None:
+        """Write a delta, which may have more columns; gives it back as written, None if it is empty."""
+        delta = bucketed(delta, "pk", self.buckets)
+        n = delta.count()
+        if not n:
+            return None
+        self.levels.append((delta, n))
+        self.written += n
+        while len(self.levels) > 1 and 2 * self.levels[-1][1] >= self.levels[-2][1]:
+            both = bucketed(self.rows(self.levels[-2:]), "pk", self.buckets)
+            self.levels[-2:] = [(both, n := both.count())]
+            self.written += n
+        return delta
+
+    def current(self) -> DataFrame:
+        """``(pk, anonymize, identity)``, written as one."""
+        if len(self.levels) > 1:
+            both = bucketed(self.rows(), "pk", self.buckets)
+            self.levels = [(both, n := both.count())]
+            self.written += n
+        return self.levels[0][0].select(*KEPT)
+
+
+def _logs(kept: Kept, tables: Mapping[str, DataFrame]) -> dict[str, DeltaLog]:
+    return {t: DeltaLog.of(rows, kept.buckets_of(t, tables[t])) for t, rows in kept.rows.items()}
+
+
+def cascade(kept: Kept, tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpec, logs: dict[str, DeltaLog] | None = None) -> list[str]:
     """Pull in the children of kept rows, theirs, and so on; changes ``kept`` in place and returns warnings.
 
     A row is preserved if any way from a preserved row leads to it.  Its identity is that of the entity it was first
-    reached from (smallest round, edge, identity), never another row of its own table.
+    reached from (smallest round, edge, identity), never another row of its own table.  Rows without a key are not kept.
+    ``logs``, if given, gets what was written.
     """
     warnings, edges = [], []
     for e in edges_of(catalog, spec, "down"):
@@ -69,15 +129,19 @@ def cascade(kept: Kept, tables: Mapping[str, DataFrame], catalog: Catalog, spec:
             warnings.append(f"{e.label} does not refer to the primary key of {e.parent}: not followed down")
             continue
         edges.append(e)
+    logs = {} if logs is None else logs
+    logs.update(_logs(kept, tables))
     frontier = dict(kept.rows)
+    round_ = 0
     while frontier:
+        round_ += 1
         arriving: dict[str, list[DataFrame]] = {}
         for ordinal, e in enumerate(edges):
             if e.parent not in frontier:
                 continue
             inherited = F.coalesce("identity", own_identity(e.parent, F.col("pk")))
             parents = frontier[e.parent].select("pk", "anonymize", inherited.alias("who"))
-            found = children_of(e, tables[e.child], catalog.key(e.child), parents, "pk")
+            found = children_of(e, tables[e.child], catalog.key(e.child), parents, "pk").where("child_pk IS NOT NULL")
             other = F.when(~F.col("who").startswith(f"{e.child}:"), F.struct(F.lit(ordinal).alias("o"), F.col("who").alias("who")))
             arriving.setdefault(e.child, []).append(found.select("child_pk", "anonymize", other.alias("by")))
         frontier = {}
@@ -85,18 +149,19 @@ def cascade(kept: Kept, tables: Mapping[str, DataFrame], catalog: Catalog, spec:
             new = reduce(DataFrame.unionByName, parts).groupBy(F.col("child_pk").alias("pk")).agg(
                 F.bool_and("anonymize").alias("flag"), F.min("by")["who"].alias("who")
             )
-            old = kept.rows.get(child)
-            if old is None:
-                merged = new.select("pk", F.col("flag").alias("anonymize"), F.col("who").alias("identity"), F.lit(True).alias("changed"))
+            log = logs.setdefault(child, DeltaLog(kept.buckets_of(child, tables[child])))
+            if not log.levels:
+                delta = new.select("pk", F.col("flag").alias("anonymize"), F.col("who").alias("identity"), F.lit(True).alias("changed"))
             else:
                 flag = F.coalesce("anonymize", F.lit(True)) & F.coalesce("flag", F.lit(True))
                 changed = F.col("anonymize").isNull() | (F.col("anonymize") != flag)
-                merged = old.join(new, "pk", "full").select("pk", flag.alias("anonymize"), F.coalesce("identity", "who").alias("identity"), changed.alias("changed"))
-            merged = materialize(merged)
-            kept.rows[child] = merged.select(*KEPT)
-            fresh = merged.where("changed").select(*KEPT)
-            if not fresh.isEmpty():
-                frontier[child] = fresh
+                named = F.col("identity").isNull() & F.col("who").isNotNull()
+                met = new.join(log.rows().drop("round"), "pk", "left")
+                delta = met.where(changed | named).select("pk", flag.alias("anonymize"), F.coalesce("identity", "who").alias("identity"), changed.alias("changed"))
+            delta = log.append(delta.withColumn("round", F.lit(round_)))
+            if delta is not None:
+                frontier[child] = delta.where("changed").select(*KEPT)
+    kept.rows.update({t: log.current() for t, log in logs.items() if log.levels})
     return warnings
 
 
@@ -137,6 +202,7 @@ def backfill(kept: Kept, tables: Mapping[str, DataFrame], catalog: Catalog, spec
                 edges.append((ordinal, e, "unaddressable"))
             else:
                 edges.append((ordinal, e, "pull"))
+    logs = _logs(kept, tables)
     # None stands for every row of a table
     frontier: dict[str, DataFrame | None] = {}
     for _, e, _ in edges:
@@ -163,19 +229,19 @@ def backfill(kept: Kept, tables: Mapping[str, DataFrame], catalog: Catalog, spec
         for table, parts in asked.items():
             wanted = reduce(DataFrame.unionByName, parts).groupBy("ref").agg(F.min("by")["edge"].alias("edge"))
             keys = tables[table].select(ref(catalog.key(table)).alias("pk"))
-            new = keys.join(wanted, keys["pk"] == wanted["ref"]).select("pk", "edge")
-            old = kept.rows.get(table)
-            if old is not None:
-                new = new.join(old.select("pk"), "pk", "left_anti")
-            new = materialize(new)
-            if new.isEmpty():
+            new = keys.join(wanted, keys["pk"] == wanted["ref"]).groupBy("pk").agg(F.min("edge").alias("edge"))
+            log = logs.setdefault(table, DeltaLog(kept.buckets_of(table, tables[table])))
+            if log.levels:
+                new = new.join(log.rows().select("pk"), "pk", "left_anti")
+            as_kept = F.lit(True).alias("anonymize"), F.lit(None).cast("string").alias("identity"), F.lit(round_).alias("round")
+            delta = log.append(new.select("pk", *as_kept, "edge"))
+            if delta is None:
                 continue
-            rows = new.select("pk", F.lit(True).alias("anonymize"), F.lit(None).cast("string").alias("identity"))
-            kept.rows[table] = rows if old is None else materialize(old.unionByName(rows))
-            frontier[table] = rows
-            log = new.select(F.lit(table).alias("table"), "edge", F.col("pk").cast("string").alias("pk"), F.lit(round_).alias("round"))
-            report.added = log if report.added is None else report.added.unionByName(log)
+            frontier[table] = delta.select(*KEPT)
+            added = delta.select(F.lit(table).alias("table"), "edge", F.col("pk").cast("string").alias("pk"), "round")
+            report.added = added if report.added is None else report.added.unionByName(added)
         round_ += 1
+    kept.rows.update({t: log.current() for t, log in logs.items() if log.levels})
     return report
 
 
