@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, SubsetSpec
@@ -35,6 +35,15 @@ class Subset:
         parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, df in self.tables.items()]
         return reduce(DataFrame.unionByName, parts)
 
+    def largest_first(self) -> DataFrame:
+        """``(place, table, rows)`` of the tables with rows, the largest first, then by name; places from 1."""
+        by_size = Window.orderBy(F.desc("rows"), "table")  # a row a table
+        return self.row_counts().where("rows > 0").select(F.row_number().over(by_size).alias("place"), "table", "rows").orderBy("place")
+
+    def totals(self) -> DataFrame:
+        """One row ``(tables_with_rows, rows)``."""
+        return self.row_counts().agg(F.count_if(F.col("rows") > 0).alias("tables_with_rows"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
 
 def select_rows(tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpec, now: datetime, seed: str = "") -> tuple[Kept, Backfill, DataFrame | None, dict, list[str]]:
     """Kept rows of a job, before anything is emitted."""

@@ -249,12 +249,12 @@ def _(spark, sf):
 
 SEEDS = (
     Rule("customer", (Condition("c_mktsegment", "eq", "BUILDING"),), take=Take("top", 30, "c_acctbal")),
-    Rule("customer", (Condition("email", "endsWith", "@ACME.com"), Condition("c_custkey", "lt", 100)), anonymize=False),
+    Rule("customer", (Condition("email", "endsWith", "@ACME.com"), Condition("c_acctbal", "lt", 500)), anonymize=False),
 )
 SEED_SQL = f"""
     SELECT pk, bool_and(anonymize) AS anonymize FROM (
         (SELECT c_custkey AS pk, TRUE AS anonymize FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 30)
-        UNION ALL (SELECT c_custkey, FALSE FROM {C} WHERE email LIKE '%@acme.com' AND c_custkey < 100)
+        UNION ALL (SELECT c_custkey, FALSE FROM {C} WHERE email LIKE '%@acme.com' AND c_acctbal < 500)
     ) GROUP BY pk
 """
 
@@ -361,13 +361,13 @@ def _(spark, sf):
 
 
 @query("backfill_two_edges", f"""
-    WITH o AS {NEWEST_SQL}, clerk AS (SELECT DISTINCT CAST((o_orderkey * 7) % 150 AS BIGINT) AS k FROM o)
+    WITH o AS {NEWEST_SQL}, clerk AS (SELECT DISTINCT CAST(floor(o_custkey / 2) AS BIGINT) AS k FROM o)
     SELECT 'customer' AS "table", CASE WHEN c_custkey IN (SELECT o_custkey FROM o) THEN 'orders.o_custkey' ELSE 'orders.clerk' END AS edge, count(*) AS added
     FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o) OR c_custkey IN (SELECT k FROM clerk) GROUP BY ALL
 """)
 def _(spark, sf):
     t = read(spark, sf, "orders", "customer")
-    t["orders"] = t["orders"].withColumn("clerk", ((F.col("o_orderkey") * 7) % 150).cast("long"))
+    t["orders"] = t["orders"].withColumn("clerk", F.floor(F.col("o_custkey") / 2).cast("long"))
     fks = (ForeignKey("orders", "o_custkey", "customer", "c_custkey"), ForeignKey("orders", "clerk", "customer", "c_custkey"))
     catalog = Catalog({n: CATALOG.tables[n] for n in t}, fks)
     return _backfilled(t, UP, catalog)[1].by_edge()
@@ -741,15 +741,22 @@ def _(spark, sf):
 
 
 FULL = SubsetSpec(
-    {"region": "reference", "nation": "reference", "events": "structure", "supplier": "excluded"},
-    (NEWEST, Rule("customer", (Condition("c_custkey", "in", (1, 2, 3)),)), Rule("part", (Condition("p_size", "lte", 10),))),
+    {"region": "reference", "nation": "reference", "supplier": "reference"},
+    (NEWEST, Rule("customer", (Condition("c_acctbal", "gt", 9500),)), Rule("part", (Condition("p_size", "lte", 10),))),
     (FieldStrategy("customer", "email", Strategy("fake", "userIdEmailKeepDomain")), FieldStrategy("customer", "nick", Strategy("redact"))),
 )
+#: As FULL, with tables that come out without rows: their structure only, not at all, and a link table with an endpoint that is not there.
+HOLLOW = SubsetSpec(FULL.classes | {"events": "structure", "supplier": "excluded"}, FULL.rules, FULL.strategies)
 FULL_SQL = f"""
-    WITH c0 AS (SELECT c_custkey FROM customer WHERE c_custkey IN (1, 2, 3)), newest AS {NEWEST_SQL},
+    WITH c0 AS (SELECT c_custkey FROM customer WHERE c_acctbal > 9500), newest AS {NEWEST_SQL},
     o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c0) OR o_orderkey IN (SELECT o_orderkey FROM newest)),
-    c AS (SELECT * FROM {C} WHERE c_custkey IN (SELECT c_custkey FROM c0) OR c_custkey IN (SELECT o_custkey FROM o))
+    c AS (SELECT * FROM {C} WHERE c_custkey IN (SELECT c_custkey FROM c0) OR c_custkey IN (SELECT o_custkey FROM o)),
+    p AS (SELECT * FROM part WHERE p_size <= 10), e AS (SELECT * FROM events WHERE user_id IN (SELECT c_custkey FROM c0)),
+    l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) AND l_partkey IN (SELECT p_partkey FROM p))
 """
+FULL_COUNTS = """SELECT 'region' AS "table", count(*) AS rows FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier
+    UNION ALL SELECT 'customer', count(*) FROM c UNION ALL SELECT 'part', count(*) FROM p UNION ALL SELECT 'orders', count(*) FROM o
+    UNION ALL SELECT 'lineitem', count(*) FROM l UNION ALL SELECT 'events', count(*) FROM e"""
 
 
 @query("subset_full", FULL_SQL + "SELECT c_custkey, concat('user', c_custkey, '@', split_part(email, '@', 2)) AS email, CAST(NULL AS VARCHAR) AS nick, c_nationkey FROM c")
@@ -757,27 +764,42 @@ def subset_full(spark, sf):
     return subset(read(spark, sf), CATALOG, FULL, NOW).tables["customer"].select("c_custkey", "email", "nick", "c_nationkey")
 
 
+@query("subset_lines", FULL_SQL + "SELECT l_orderkey, l_partkey, l_linenumber FROM l")
+def _(spark, sf):
+    return subset(read(spark, sf), CATALOG, FULL, NOW).tables["lineitem"].select("l_orderkey", "l_partkey", "l_linenumber")
+
+
 @query("subset_row_counts", FULL_SQL + """
     SELECT 'region' AS "table", count(*) AS rows FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'customer', count(*) FROM c
-    UNION ALL SELECT 'part', count(*) FROM part WHERE p_size <= 10 UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', 0 UNION ALL SELECT 'events', 0
+    UNION ALL SELECT 'part', count(*) FROM p UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', 0 UNION ALL SELECT 'events', 0
 """)
 def _(spark, sf):
-    return subset(read(spark, sf), CATALOG, FULL, NOW).row_counts()
+    return subset(read(spark, sf), CATALOG, HOLLOW, NOW).row_counts()
 
 
-@query("subset_integrity", "SELECT * FROM (VALUES ('customer.c_nationkey', 0, 0), ('orders.o_custkey', 0, 0), ('nation.n_regionkey', 0, 0)) s(edge, rows_dangling, orphans)")
+@query("subset_integrity", FULL_SQL + """
+    SELECT 'customer.c_nationkey' AS edge, count(*) AS rows_dangling, count(DISTINCT c_nationkey) AS orphans FROM c WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)
+    UNION ALL SELECT 'orders.o_custkey', count(*), count(DISTINCT o_custkey) FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM c)
+    UNION ALL SELECT 'nation.n_regionkey', count(*), count(DISTINCT n_regionkey) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)
+    UNION ALL SELECT 'lineitem.l_orderkey', count(*), count(DISTINCT l_orderkey) FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)
+    UNION ALL SELECT 'lineitem.l_partkey', count(*), count(DISTINCT l_partkey) FROM l WHERE l_partkey NOT IN (SELECT p_partkey FROM p)
+    UNION ALL SELECT 'events.user_id', count(*), count(DISTINCT user_id) FROM e WHERE user_id NOT IN (SELECT c_custkey FROM c)
+""")
 def _(spark, sf):
     out = subset(read(spark, sf), CATALOG, FULL, NOW).tables
-    edges = [e for e in edges_of(CATALOG, FULL, "up") if e.label in ("customer.c_nationkey", "orders.o_custkey", "nation.n_regionkey")]
+    wanted = ("customer.c_nationkey", "orders.o_custkey", "nation.n_regionkey", "lineitem.l_orderkey", "lineitem.l_partkey", "events.user_id")
+    edges = [e for e in edges_of(CATALOG, FULL, "up") if e.label in wanted]
     return profile.integrity_audit(out, edges, {n: CATALOG.key(n) for n in out})
 
 
-@query("subset_totals", FULL_SQL + "SELECT 4 AS tables_with_rows, (SELECT count(*) FROM c) + (SELECT count(*) FROM o) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS rows")
+@query("subset_totals", FULL_SQL + f"SELECT count(*) AS tables_with_rows, CAST(sum(rows) AS BIGINT) AS rows FROM ({FULL_COUNTS}) WHERE rows > 0")
+def _(spark, sf):
+    return subset(read(spark, sf), CATALOG, FULL, NOW).totals()
+
+
+@query("subset_largest", FULL_SQL + f"SELECT row_number() OVER (ORDER BY rows DESC, \"table\") AS place, \"table\", rows FROM ({FULL_COUNTS}) WHERE rows > 0")
 def _(spark, sf):
-    t = {n: df for n, df in read(spark, sf).items() if n not in ("part", "lineitem")}
-    spec = SubsetSpec(FULL.classes, FULL.rules[:2])
-    counts = subset(t, CATALOG, spec, NOW).row_counts().where("rows > 0")
-    return counts.agg(F.count(F.lit(1)).alias("tables_with_rows"), F.sum("rows").alias("rows"))
+    return subset(read(spark, sf), CATALOG, FULL, NOW).largest_first()
 
 
 @query("kept_rows", CASCADE_SQL)
