@@ -54,8 +54,12 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     As after ``materialize``, the rows are fixed and outlive executors.  Joins and aggregates on the key need no shuffle of
     them, and the planner knows their size, so it broadcasts them where they are small.  The name in the catalog, without which
     Spark writes no buckets, is gone when this returns; the files stay.
+
+    Spark 4.1 takes a union of bucketed scans to be dealt by bucket, and then reads them without their buckets: an aggregate on top
+    does not bring equal keys together.  That shortcut is turned off for the session.
     """
     spark, name = df.sparkSession, f"cohort_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     table = f"spark_catalog.default.{name}"
     df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(table)
     out = spark.table(table)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import FieldStrategy, IdentitySource, LocaleSource, SpecError, Strategy
-from ..common import column_type, fresh, is_number, is_time, materialize, own_identity, ref
+from ..common import BUCKET_ROWS, bucketed, column_type, fresh, is_number, is_time, materialize, numbered, own_identity, ref
 from ..functions.generators import GENERATORS, generate
 from ..functions.jsonpath import overlay, read_path
 from ..functions.locale import locale_of
@@ -18,8 +20,8 @@ from ..functions.predicates import all_of, as_text
 from ..functions.scramble import scramble_before, scramble_first, scramble_last
 from ..functions.seeds import fraction, seed
 
-#: Rounds of the guard that keeps faked values of a unique column apart; each settles all but repeats.
-UNIQUE_ROUNDS = 25
+#: Salts that the guard of unique columns tries for a row, and how many of them at once at most.
+SALTS, SALTS_AT_ONCE = 1_000, 256
 
 
 def jitter(c: Column, kind: T.DataType, percent: float, key: Column) -> Column:
@@ -69,11 +71,13 @@ def rewritten(df: DataFrame, column: str, s: Strategy, identity: Column, row_key
 def anonymize(
     df: DataFrame, table: str, key: str, strategies: Sequence[FieldStrategy], now: datetime,
     flag: Column | None = None, identity: Column | None = None, country: Column | None = None, unique: Sequence[str] = (),
+    notes: list[str] | None = None,
 ) -> DataFrame:
     """``df`` with its strategies applied to rows where ``flag`` holds; columns without one pass, in their order.
 
     An exception is tested on source values, as are all expressions: no strategy sees another's output.  Strategies for
-    columns that the table lacks are skipped.  Faked values of ``unique`` columns are kept apart among anonymized rows.
+    columns that the table lacks are skipped.  Faked values of ``unique`` columns are kept apart among anonymized rows, as far as
+    their generator has values; ``notes`` gets a warning where it has too few.
     """
     flag = F.lit(True) if flag is None else flag
     row_key = own_identity(table, ref(key))
@@ -91,7 +95,7 @@ def anonymize(
         other, main = _alike(other, main, df, s)
         return F.when(test, other).otherwise(main)
 
-    apart = {}
+    columns, apart = df.columns, {}
     for c in guarded:
         s = mine[c]
         takes_part = flag
@@ -99,9 +103,17 @@ def anonymize(
             test = F.coalesce(all_of(df, s.exception.where, s.exception.match, key, now), F.lit(False))
             fake_there, fake_here = s.exception.strategy.kind == "fake", s.strategy.kind == "fake"
             takes_part = flag & F.when(test, F.lit(fake_there)).otherwise(F.lit(fake_here))
-        apart[c] = keep_apart(df, key, c, takes_part, lambda attempt, s=s: value(s, attempt))
+        values, left = keep_apart(df, key, takes_part & ref(c).isNotNull(), lambda attempt, s=s: value(s, attempt))
+        pk, chosen = fresh(df, "pk_", "apart_")
+        df = df.join(values.select(F.col("pk").alias(pk), F.col("value").alias(chosen)), ref(key) == ref(pk), "left").drop(pk)
+        apart[c] = chosen
+        if left:
+            text = f"{table}.{c}: {left} rows share a value with others after {SALTS} tries each: the generator has too few"
+            warnings.warn(text, stacklevel=2)
+            if notes is not None:
+                notes.append(text)
     out = []
-    for c in df.columns:
+    for c in columns:
         if c not in mine:
             out.append(ref(c))
             continue
@@ -109,10 +121,8 @@ def anonymize(
         if _text_output(df, mine[c]):
             new, old = new.cast("string"), as_text(old, column_type(df, c))
         if c in apart:
-            new = F.coalesce(F.col(f"`apart {c}`"), new)
+            new = F.coalesce(ref(apart[c]), new)
         out.append(F.when(flag, new).otherwise(old).alias(c))
-    for c, values in apart.items():
-        df = df.join(values.select(F.col("pk").alias(f"pk {c}"), F.col("value").alias(f"apart {c}")), ref(key) == F.col(f"`pk {c}`"), "left")
     return df.select(*out)
 
 
@@ -131,29 +141,45 @@ def _alike(a: Column, b: Column, df: DataFrame, s: FieldStrategy) -> tuple[Colum
     return (a.cast("string"), b.cast("string")) if _text_output(df, s) else (a, b)
 
 
-def keep_apart(df: DataFrame, key: str, column: str, flag: Column, value, rounds: int = UNIQUE_ROUNDS) -> DataFrame:
-    """``(pk, value)``: faked values of a unique column, no two alike.
+def keep_apart(df: DataFrame, key: str, flag: Column, value) -> tuple[DataFrame, int]:
+    """``(pk, value)`` for rows with ``flag``: faked values, no two alike; and how many rows had to share one.
 
-    Of rows with the same plain value, that with the smallest key has it; the second tries the first salt, the third the
-    second, and so on.  Rows whose value is taken by then go on to their next salt, against all values given out.  Repeats
-    shrink from round to round; values meet in partial ``min`` aggregates.  Nulls stay null and take no part.
+    Of rows with the same plain value, that with the smallest key has it.  The others, by their place in that order, start at salts
+    1, 2, 3, ... and go on from there, round through all ``SALTS``; of rows that try a free value as their next, the smallest key
+    has it.  Rows for which all are taken keep the last salt's.  Places are distributed ranks and values meet in partial ``min``
+    aggregates, so a value that most rows have makes no large task.  Values given out are written once, bucketed by value.
     """
-    salt = f"salt {column}"
-    rows = df.where(flag & ref(column).isNotNull())
-    same = Window.partitionBy(value(F.lit(0))).orderBy(ref(key))
-    todo = materialize(rows.withColumn(salt, F.row_number().over(same) - 1))
-    done: DataFrame | None = None
-    for _ in range(rounds):
-        tried = todo.select(ref(key).alias("pk"), value(ref(salt)).cast("string").alias("value"))
-        free = tried if done is None else tried.join(done.select("value"), "value", "left_anti")
-        won = materialize(free.groupBy("value").agg(F.min("pk").alias("pk")).select("pk", "value"))
-        done = won if done is None else materialize(done.unionByName(won))
-        (mine,) = fresh(todo, "won_")
-        rest = todo.join(won.select(F.col("pk").alias(mine)), ref(key) == ref(mine), "left_anti")
-        todo = materialize(rest.withColumn(salt, ref(salt) + 1))
-        if todo.isEmpty():
-            return done
-    raise SpecError(f"{column}: the generator has too few values to keep {todo.count()} rows of a unique column apart")
+    rows = df.where(flag)
+    plain = rows.select(ref(key).alias("pk"), value(F.lit(0)).cast("string").alias("value")).where("pk IS NOT NULL")
+    ranked = materialize(numbered(plain, ["value"], ["pk"], "rank"))
+    buckets = -(-ranked.count() // BUCKET_ROWS) or 1
+    ranked = bucketed(ranked, "value", buckets)
+    done = [ranked.where("rank = 0").select("pk", "value")]
+    turn, start = fresh(rows, "turn_", "start_")
+    late = ranked.where("rank > 0").select(F.col("pk").alias(start + "pk"), ((F.col("rank") - 1) % SALTS).alias(start))
+    rest = materialize(rows.join(late, ref(key) == ref(start + "pk")).drop(start + "pk"))
+    tried, size = 0, 1
+    while tried < SALTS and not rest.isEmpty():
+        last = min(tried + size, SALTS) - 1
+        trying = rest.withColumn(turn, F.explode(F.sequence(F.lit(tried), F.lit(last))))
+        salt = ((ref(start) + ref(turn)) % SALTS + 1).cast("int")
+        free = trying.select(ref(key).alias("pk"), ref(turn).alias("turn"), value(salt).cast("string").alias("value"))
+        for part in done:
+            free = free.join(part.select("value"), "value", "left_anti")
+        free, won = materialize(free), []
+        while not free.isEmpty():
+            nearest = free.groupBy("pk").agg(F.min(F.struct("turn", "value"))["value"].alias("value"))
+            won.append(bucketed(nearest.groupBy("value").agg(F.min("pk").alias("pk")).select("pk", "value"), "value", buckets))
+            free = materialize(free.join(won[-1].select("value"), "value", "left_anti").join(won[-1].select("pk"), "pk", "left_anti"))
+        for part in won:
+            (mine,) = fresh(rest, "won_")
+            rest = rest.join(part.select(F.col("pk").alias(mine)), ref(key) == ref(mine), "left_anti")
+        rest, done = materialize(rest) if won else rest, done + won
+        tried, size = last + 1, min(2 * size, SALTS_AT_ONCE)
+    left = rest.count()
+    if left:
+        done.append(rest.select(ref(key).alias("pk"), value(F.lit(SALTS)).cast("string").alias("value")))
+    return reduce(DataFrame.unionByName, done), left
 
 
 def country_of(df: DataFrame, source: LocaleSource | None) -> Column:

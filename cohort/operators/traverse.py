@@ -58,10 +58,11 @@ def references_of(edge: Edge, child: DataFrame, child_key: str | None, rows: Dat
 
 @dataclass
 class DeltaLog:
-    """A table's kept rows as deltas ``(pk, anonymize, identity, round)``, each bucketed by ``pk``.
+    """A table's kept rows as deltas ``(pk, anonymize, identity)``, first to last, each bucketed by ``pk``.
 
     A row may stand in many deltas: it is preserved if any says so, and has the first identity that any gives.  Two deltas are
-    merged when the later has grown to half of the earlier, so a row is written again only as often as the log doubles.
+    merged when the later has grown to half of the earlier, so a row is written again only as often as the log doubles, and
+    there are few deltas to look into.
     """
 
     buckets: int
@@ -73,17 +74,31 @@ class DeltaLog:
     def of(cls, rows: DataFrame | None, buckets: int) -> DeltaLog:
         log = cls(buckets)
         if rows is not None:
-            log.levels.append((rows.withColumn("round", F.lit(0)), rows.count()))
+            log.levels.append((rows, rows.count()))
         return log
 
-    def rows(self, levels: Sequence[tuple[DataFrame, int]] | None = None) -> DataFrame:
-        """All rows, each once: a union and an aggregate without a shuffle."""
-        levels = self.levels if levels is None else levels
-        parts = [df.select("pk", "anonymize", "identity", "round") for df, _ in levels]
-        if len(parts) == 1:
-            return parts[0]
-        first = F.min(F.when(F.col("identity").isNotNull(), F.struct("round", "identity")))["identity"]
-        return reduce(DataFrame.unionByName, parts).groupBy("pk").agg(F.bool_and("anonymize").alias("anonymize"), first.alias("identity"), F.min("round").alias("round"))
+    def known(self, rows: DataFrame) -> DataFrame:
+        """``rows(pk, ...)`` with what is known of each: ``anonymize`` (null for rows that are not kept) and ``identity``."""
+        flags, names = [], []
+        for i, (df, _) in enumerate(self.levels):
+            rows = rows.join(df.select("pk", F.col("anonymize").alias(f"flag_{i}"), F.col("identity").alias(f"name_{i}")), "pk", "left")
+            flags.append(f"flag_{i}")
+            names.append(f"name_{i}")
+        least = reduce(lambda a, b: F.coalesce(a & b, a, b), map(F.col, flags))  # of those that are there
+        return rows.withColumns({"anonymize": least, "identity": F.coalesce(*names)}).drop(*flags, *names)
+
+    def unknown(self, rows: DataFrame) -> DataFrame:
+        """``rows(pk, ...)`` that are not kept."""
+        return reduce(lambda left, level: left.join(level[0].select("pk"), "pk", "left_anti"), self.levels, rows)
+
+    def _merge_last(self) -> None:
+        (first, _), (last, _) = self.levels[-2:]
+        other = last.select("pk", F.col("anonymize").alias("flag_"), F.col("identity").alias("name_"))
+        flag = F.coalesce("anonymize", F.lit(True)) & F.coalesce("flag_", F.lit(True))
+        both = first.select(*KEPT).join(other, "pk", "full").select("pk", flag.alias("anonymize"), F.coalesce("identity", "name_").alias("identity"))
+        both = bucketed(both, "pk", self.buckets)
+        self.levels[-2:] = [(both, n := both.count())]
+        self.written += n
 
     def append(self, delta: DataFrame) -> DataFrame | None:
         """Write a delta, which may have more columns; gives it back as written, None if it is empty."""
@@ -94,17 +109,13 @@ class DeltaLog:
         self.levels.append((delta, n))
         self.written += n
         while len(self.levels) > 1 and 2 * self.levels[-1][1] >= self.levels[-2][1]:
-            both = bucketed(self.rows(self.levels[-2:]), "pk", self.buckets)
-            self.levels[-2:] = [(both, n := both.count())]
-            self.written += n
+            self._merge_last()
         return delta
 
     def current(self) -> DataFrame:
         """``(pk, anonymize, identity)``, written as one."""
-        if len(self.levels) > 1:
-            both = bucketed(self.rows(), "pk", self.buckets)
-            self.levels = [(both, n := both.count())]
-            self.written += n
+        while len(self.levels) > 1:
+            self._merge_last()
         return self.levels[0][0].select(*KEPT)
 
 
@@ -132,9 +143,7 @@ def cascade(kept: Kept, tables: Mapping[str, DataFrame], catalog: Catalog, spec:
     logs = {} if logs is None else logs
     logs.update(_logs(kept, tables))
     frontier = dict(kept.rows)
-    round_ = 0
     while frontier:
-        round_ += 1
         arriving: dict[str, list[DataFrame]] = {}
         for ordinal, e in enumerate(edges):
             if e.parent not in frontier:
@@ -156,9 +165,8 @@ def cascade(kept: Kept, tables: Mapping[str, DataFrame], catalog: Catalog, spec:
                 flag = F.coalesce("anonymize", F.lit(True)) & F.coalesce("flag", F.lit(True))
                 changed = F.col("anonymize").isNull() | (F.col("anonymize") != flag)
                 named = F.col("identity").isNull() & F.col("who").isNotNull()
-                met = new.join(log.rows().drop("round"), "pk", "left")
-                delta = met.where(changed | named).select("pk", flag.alias("anonymize"), F.coalesce("identity", "who").alias("identity"), changed.alias("changed"))
-            delta = log.append(delta.withColumn("round", F.lit(round_)))
+                delta = log.known(new).where(changed | named).select("pk", flag.alias("anonymize"), F.coalesce("identity", "who").alias("identity"), changed.alias("changed"))
+            delta = log.append(delta)
             if delta is not None:
                 frontier[child] = delta.where("changed").select(*KEPT)
     kept.rows.update({t: log.current() for t, log in logs.items() if log.levels})
@@ -231,8 +239,7 @@ def backfill(kept: Kept, tables: Mapping[str, DataFrame], catalog: Catalog, spec
             keys = tables[table].select(ref(catalog.key(table)).alias("pk"))
             new = keys.join(wanted, keys["pk"] == wanted["ref"]).groupBy("pk").agg(F.min("edge").alias("edge"))
             log = logs.setdefault(table, DeltaLog(kept.buckets_of(table, tables[table])))
-            if log.levels:
-                new = new.join(log.rows().select("pk"), "pk", "left_anti")
+            new = log.unknown(new)
             as_kept = F.lit(True).alias("anonymize"), F.lit(None).cast("string").alias("identity"), F.lit(round_).alias("round")
             delta = log.append(new.select("pk", *as_kept, "edge"))
             if delta is None:

@@ -79,14 +79,14 @@ def subset(tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpec,
         elif cls == "reference":
             rows = df
         else:
-            rows = emit(df, name, kept, catalog, spec, countries, now)
+            rows = emit(df, name, kept, catalog, spec, countries, now, warnings)
         out[name], columns = null_dangling(rows, name, policies, kept, catalog, spec)
         if columns:
             tested[name] = columns
     return Subset(out, kept, report, flagged, tested, warnings)
 
 
-def emit(df: DataFrame, name: str, kept: Kept, catalog: Catalog, spec: SubsetSpec, countries: DataFrame | None, now: datetime) -> DataFrame:
+def emit(df: DataFrame, name: str, kept: Kept, catalog: Catalog, spec: SubsetSpec, countries: DataFrame | None, now: datetime, notes: list[str] | None = None) -> DataFrame:
     """A table's kept rows, those flagged anonymized; a table with nothing kept has no rows."""
     key, rows = catalog.key(name), kept.rows.get(name)
     if key is None or rows is None:
@@ -106,7 +106,7 @@ def emit(df: DataFrame, name: str, kept: Kept, catalog: Catalog, spec: SubsetSpe
         joined = joined.join(named, ref(who_col) == ref(entity), "left")
         own = F.when(ref(known), ref(known_country)).otherwise(own)
     joined = joined.withColumn(country, own)
-    done = anonymize(joined, name, key, strategies, now, ref(flag), ref(who_col), ref(country), catalog.tables[name].unique)
+    done = anonymize(joined, name, key, strategies, now, ref(flag), ref(who_col), ref(country), catalog.tables[name].unique, notes)
     return done.select(*[ref(c) for c in df.columns])
 
 
@@ -117,10 +117,10 @@ def nulled_counts(result: Subset, tables: Mapping[str, DataFrame], catalog: Cata
         key = catalog.key(name)
         if key is None:
             continue
-        (pk,) = fresh(result.tables[name], "pk_")
-        before = tables[name].select(ref(key).alias(pk), *[ref(c).isNotNull().alias(f"had {c}") for c in columns])
+        pk, *had = fresh(result.tables[name], "pk_", *(f"had_{i}" for i in range(len(columns))))
+        before = tables[name].select(ref(key).alias(pk), *[ref(c).isNotNull().alias(h) for c, h in zip(columns, had, strict=True)])
         after = result.tables[name].select(ref(key), *[ref(c) for c in columns]).join(before, ref(key) == ref(pk))
-        for c in columns:
-            n = after.agg(F.count_if(F.col(f"`had {c}`") & ref(c).isNull()).alias("nulled"))
+        for c, h in zip(columns, had, strict=True):
+            n = after.agg(F.count_if(ref(h) & ref(c).isNull()).alias("nulled"))
             parts.append(n.select(F.lit(f"{name}.{c}").alias("column"), "nulled"))
     return reduce(DataFrame.unionByName, parts) if parts else None

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from cohort.catalog import (
     Binding, Catalog, Condition, FieldException, FieldStrategy, ForeignKey, LocaleSource, MorphRelation, Rule, SpecError, Strategy, SubsetSpec, Table, Take,
 )
+from cohort.common import bucketed
 from cohort.functions.generators import GENERATORS, domain_of, generate, id_local_part
 from cohort.functions.jsonpath import discover, rewrite
 from cohort.functions.locale import locale_of
 from cohort.functions.predicates import cutoff, matching
 from cohort.functions.scramble import scramble_before, scramble_first
-from cohort.operators.anonymize import anonymize
+from cohort.operators.anonymize import anonymize, keep_apart
 from cohort.operators.links import detect_links, guess_table, link_rows, snake_case
 from cohort.operators.policy import check_policies
 from cohort.operators.select import seed_rows, take
-from cohort.operators.traverse import backfill, cascade
+from cohort.operators.traverse import DeltaLog, backfill, cascade
 from cohort.plans.subset import subset
 from cohort.sources.profile import looks_personal
 from cohort.sources.sinks import insert_statements, literal, load_order, record_run, write_sql
@@ -262,9 +263,41 @@ def test_unique_values_stay_apart(spark):
 
 
 def test_unique_values_run_out(spark):
+    """A generator of few values: all of them are given out, once each but for the last salts', and a warning says how many rows share."""
     df = spark.range(400).select("id", F.lit("x").alias("code"))
-    with pytest.raises(SpecError):
-        anonymize(df, "t", "id", strategies(("code", Strategy("fake", "countryCode"))), NOW, unique=("code",)).count()
+    notes = []
+    with pytest.warns(UserWarning, match="too few"):
+        out = anonymize(df, "t", "id", strategies(("code", Strategy("fake", "countryCode"))), NOW, unique=("code",), notes=notes)
+    codes = [r.code for r in out.collect()]
+    every = {r[0] for r in anonymize(spark.range(3000).select("id", F.lit("x").alias("code")), "t", "id", strategies(("code", Strategy("fake", "countryCode"))), NOW).select("code").collect()}
+    assert len(codes) == 400 and set(codes) == every and f"{400 - len(every)} rows" in notes[0]
+
+
+def test_unique_guard_with_one_value_in_most_rows(spark):
+    """Nine rows in ten are one entity: its rows take salts in the order of their keys; the plan has no window."""
+    n = 900
+    df = spark.range(n).select("id", F.lit("a@b.c").alias("mail"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).cast("string").alias("who"))
+    values, left = keep_apart(df, "id", F.lit(True), lambda salt: F.concat(F.col("who"), F.lit("-"), salt.cast("string")))
+    got = {r.pk: r.value for r in values.collect()}
+    assert left == 0 and len(set(got.values())) == n
+    hot = [i for i in range(n) if i % 10]
+    assert [got[i] for i in hot] == [f"-1-{k}" for k in range(len(hot))]
+    assert all(got[i] == f"{i}-0" for i in range(0, n, 10))
+
+
+def test_unique_guard_tries_every_salt(spark, monkeypatch):
+    monkeypatch.setattr("cohort.operators.anonymize.SALTS", 8)
+    df = spark.range(20).select("id")
+    values, left = keep_apart(df, "id", F.lit(True), lambda salt: salt.cast("string"))
+    rows = values.collect()
+    assert left == 20 - 9 and {r.value for r in rows} == set(map(str, range(9))) and len(rows) == 20
+
+
+def test_unique_guard_beside_columns_of_any_name(spark):
+    names = ["pk email", "apart email", "pk_", "apart_", "start_", "turn_", "won_", "rank", "value"]
+    df = spark.range(30).select("id", F.lit("a@b.c").alias("email"), (F.col("id") % 2).cast("string").alias("who"), *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    out = anonymize(df, "t", "id", strategies(("email", Strategy("fake", "email"))), NOW, identity=F.concat(F.lit("u:"), "who"), unique=("email",))
+    assert out.columns == df.columns and out.select("email").distinct().count() == 30
 
 
 PLAN = [("a.b", "fake", True), ("a.c", "redact", True), ("d", "remove", True), ("a.n", "fake", True), ("l.x", "fake", True), ("no.way", "fake", True)]
@@ -335,3 +368,41 @@ def test_classes_and_late_rows(spark):
     assert out.tables["users"].collect() == tables["users"].collect() and out.tables["posts"].count() == 0
     assert "posts" not in subset(tables, catalog, SubsetSpec({"posts": "excluded"}), NOW).tables
     assert subset(tables, catalog, SubsetSpec(), NOW).tables["users"].count() == 0
+
+
+def test_traversal_writes_each_row_a_few_times(spark):
+    """A chain of 60 rounds: what is written follows what is kept, not rounds times kept."""
+    n = 60
+    t = {"node": spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up"))}
+    catalog = Catalog({"node": Table("node", ("id",))}, (ForeignKey("node", "up", "node", "id", True),))
+    spec = SubsetSpec(rules=(Rule("node", (Condition("up", "isNull"),)),))
+    kept, _ = seed_rows(t, catalog, spec, NOW)
+    logs = {}
+    assert cascade(kept, t, catalog, spec, logs) == []
+    assert kept.rows["node"].count() == n and kept.rows["node"].distinct().count() == n
+    assert logs["node"].written <= n * 8 < n * n / 2
+
+
+def test_kept_rows_are_not_shuffled(spark):
+    """Deltas are looked into, and merged, as they are bucketed: only arriving rows are dealt anew."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    log = DeltaLog(3)
+    rows = spark.range(1000).select(F.col("id").alias("pk"), F.lit(True).alias("anonymize"), F.lit(None).cast("string").alias("identity"))
+    log.append(rows)
+    log.append(rows.where("pk < 50").withColumns({"anonymize": F.lit(False), "identity": F.lit("a")}))
+    log.append(rows.where("pk < 10").withColumn("identity", F.lit("b")))
+    assert len(log.levels) == 3 and log.written == 1060
+    asked = spark.range(1990, 0, -1).select(F.col("id").alias("pk"))
+    known, unknown = log.known(asked), log.unknown(asked)
+    for df in (known, unknown):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert unknown.count() == 991 and known.where("anonymize IS NULL").count() == 991
+    assert known.where("NOT anonymize AND identity = 'a'").count() == 49  # the first name stays
+    assert log.current().where("NOT anonymize").count() == 50 and log.current().count() == 1000
+    assert log.current().groupBy("pk").count().count() == 1000
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_union_of_bucketed_tables(spark):
+    a, b = (bucketed(spark.range(n).select(F.col("id").alias("pk")), "pk", 3) for n in (1000, 50))
+    assert a.unionByName(b).groupBy("pk").count().count() == 1000
