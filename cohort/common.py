@@ -93,9 +93,28 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str
     return placed.join(heads, same).withColumn(at, ref(at) - ref(first)).withColumnRenamed(at, out).select(*[ref(c) for c in df.columns], ref(out))
 
 
+def key_text(c: Column, kind: T.DataType) -> Column:
+    """The one text of a key or constant, whatever its type: whole numbers without a fraction, no zeros at a fraction's end, bytes as hex."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("long").cast("string")).otherwise(c.cast("string"))
+    if isinstance(kind, T.DecimalType) and kind.scale:
+        return F.regexp_replace(c.cast("string"), r"\.0*$|(\.\d*?)0+$", "$1")
+    return F.lower(F.hex(c)) if isinstance(kind, T.BinaryType) else c.cast("string")
+
+
 def as_type(c: Column, want: T.DataType, have: T.DataType) -> Column:
-    """``c`` compared as ``want``: a value that cannot be read so is null, never an error."""
-    return c if want == have else c.try_cast(want)
+    """``c`` compared as ``want``, null where it is no such value: keys of two types meet if their texts are the same.
+
+    So ``'7'``, ``7``, ``7.0`` and a decimal ``7.00`` meet, and ``'007'`` meets only ``'007'``; joins stay on the parent's own type.
+    """
+    if want == have:
+        return c
+    cast = c.try_cast(want) if not isinstance(have, T.BinaryType) else key_text(c, have).try_cast(want)
+    if isinstance(want, T.StringType):
+        return key_text(c, have)
+    if isinstance(want, T.IntegralType) and isinstance(have, T.IntegralType):
+        return cast
+    return F.when(key_text(cast, want) == key_text(c, have), cast)
 
 
 def column_type(df: DataFrame, name: str) -> T.DataType:

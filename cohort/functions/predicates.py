@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from datetime import UTC, datetime, timedelta
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import UNITS, WIDENED, Condition, Rule, SpecError
-from ..common import column_type, fresh, is_number, is_time, ref
+from ..common import column_type, fresh, is_number, is_time, key_text, ref
 
 #: Longer lists are joined instead of listed in the plan.
 LISTED_VALUES = 1_000
@@ -37,8 +38,7 @@ def cutoff(n: float, unit: str, now: datetime) -> datetime:
 def as_text(c: Column, kind: T.DataType) -> Column:
     """A value's text: whole floating numbers without a fraction, times to the second."""
     if isinstance(kind, T.DoubleType | T.FloatType):
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        return F.when(whole, c.cast("long").cast("string")).otherwise(c.cast("string"))
+        return key_text(c, kind)
     if isinstance(kind, T.TimestampType | T.TimestampNTZType):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return c.cast("string")
@@ -48,19 +48,42 @@ def _instant(text: str) -> str:
     return text.replace("T", " ")[:19]
 
 
-def _equals(c: Column, kind: T.DataType, value: Any) -> Column:
-    left, right = _sides(c, kind, value)
-    return left == right
+def readable(value: Any, kind: T.DataType) -> str | None:
+    """A constant's text as a value of a column's type, None if the type has no such value.
 
-
-def _sides(c: Column, kind: T.DataType, value: Any) -> tuple[Column, Column]:
-    """A column and a constant of one type; a constant that cannot be read so is null."""
+    Numbers are the same however they are spelt (``10``, ``10.0``, ``'10.00'``, ``1e1``); one with more digits than the column
+    holds is none of its values.
+    """
+    if value is None:
+        return None
     if is_time(kind):
-        return c, F.lit(_instant(str(value))).try_cast(kind)
-    if is_number(kind) or isinstance(kind, T.BooleanType):
-        # a constant of the column's own type, so that the filter reaches the scan
-        return c, F.lit(value if isinstance(value, bool) else str(value)).try_cast(kind)
-    return as_text(c, kind), F.lit(_spell(value))
+        return _instant(str(value))
+    if not is_number(kind):
+        return _spell(value)
+    try:
+        n = Decimal(_spell(value).strip())
+    except InvalidOperation:
+        return None
+    if isinstance(value, bool) or isinstance(kind, T.DoubleType | T.FloatType):
+        return str(value) if not isinstance(value, bool) else None
+    if not n.is_finite():
+        return None
+    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+    return format(n, "f") if n == 0 or n.normalize().as_tuple().exponent >= -scale else None
+
+
+def constant(value: Any, kind: T.DataType) -> Column:
+    """A constant of the column's own type, so that the filter reaches the scan; null if it cannot be read so."""
+    text = readable(value, kind)
+    if text is not None and isinstance(kind, T.IntegralType):
+        text = text.partition(".")[0]
+    typed = is_time(kind) or is_number(kind) or isinstance(kind, T.BooleanType)
+    return F.lit(text).try_cast(kind) if typed else F.lit(text)
+
+
+def _compared(c: Column, kind: T.DataType) -> Column:
+    """A column as its constants are compared with it."""
+    return c if is_time(kind) or is_number(kind) or isinstance(kind, T.BooleanType) else as_text(c, kind)
 
 
 def _spell(value: Any) -> str:
@@ -115,11 +138,10 @@ def one(df: DataFrame, condition: Condition, key: str | None, now: datetime) ->
     low, target = F.lower(as_text(c, kind)), _spell(value if value is not None else "").lower()
     if op == "neq":
         # a constant that cannot be read differs from every value
-        left, right = _sides(c, kind, value)
-        different = ~left.eqNullSafe(right)
+        different = ~_compared(c, kind).eqNullSafe(constant(value, kind))
         return different | c.isNull() if condition.include_nulls else different & c.isNotNull()
     if op == "eq":
-        found = _equals(c, kind, value)
+        found = _compared(c, kind) == constant(value, kind)
     elif op in ("lt", "lte", "gt", "gte"):
         found = _compare(c, kind, op, value)
     elif op in ("contains", "notContains"):
@@ -146,11 +168,11 @@ def one(df: DataFrame, condition: Condition, key: str | None, now: datetime) ->
 
 
 def _listed(c: Column, kind: T.DataType, values: Any) -> Column:
-    if not isinstance(values, (list, tuple)) or not values:
-        return F.when(c.isNotNull(), F.lit(False))  # null stays null, as with a longer list
-    if is_number(kind) and all(_number(v) is not None for v in values):
-        return c.isin(*[F.lit(str(v)).try_cast(kind) for v in values])
-    return as_text(c, kind).isin(*map(_spell, values))
+    """One of a list's values; null stays null, and values that cannot be read as the column's match nothing."""
+    known = [v for v in values if readable(v, kind) is not None] if isinstance(values, (list, tuple)) else []
+    if not known:
+        return F.when(c.isNotNull(), F.lit(False))
+    return _compared(c, kind).isin(*[constant(v, kind) for v in known])
 
 
 def all_of(df: DataFrame, conditions: Sequence[Condition], match: str, key: str | None, now: datetime) -> Column:
@@ -171,18 +193,35 @@ def check_raw(raw: str) -> str:
 def matching(df: DataFrame, rule: Rule, key: str | None, now: datetime) -> DataFrame:
     """Rows of ``df`` that meet a rule's filter.  A raw predicate may use subqueries over temp views.
 
-    A long ``in`` list that stands alone or under ``all`` is joined, so the plan stays small.
+    A list of over ``LISTED_VALUES`` is joined, so the plan stays small: under ``all`` an ``in`` keeps rows by a left-semi join; elsewhere
+    rows are marked.  Its values are read as those of short lists are, so both ways keep the same rows.
     """
     if rule.raw is not None:
         return df.filter(check_raw(rule.raw))
-    rest = []
+    rest, columns = [], df.columns
     for c in rule.where:
-        if c.op == "in" and rule.match == "all" and isinstance(c.value, (list, tuple)) and len(c.value) > LISTED_VALUES:
-            name = c.column or key
-            kind = column_type(df, name)
-            (value,) = fresh(df, "listed_")
-            listed = df.sparkSession.createDataFrame([(_spell(v),) for v in c.value], ["value"]).distinct().withColumnRenamed("value", value)
-            df = df.join(listed, as_text(ref(name), kind) == ref(value), "left_semi")
-        else:
-            rest.append(c)
-    return df.filter(all_of(df, rest, rule.match, key, now))
+        name = c.column or key
+        if c.op not in ("in", "notIn") or not isinstance(c.value, (list, tuple)) or len(c.value) <= LISTED_VALUES or name not in df.columns:
+            rest.append(one(df, c, key, now))
+            continue
+        kind, (value, mark) = column_type(df, name), fresh(df, "listed_", "mark_")
+        texts = sorted({t for v in c.value if (t := readable(v, kind)) is not None})
+        listed = df.sparkSession.createDataFrame([(t,) for t in texts], "value string").select(_typed("value", kind).alias(value)).distinct()
+        same = _compared(ref(name), kind) == ref(value)
+        if c.op == "in" and rule.match == "all":
+            df = df.join(listed, same, "left_semi")
+            continue
+        df = df.join(listed.withColumn(mark, F.lit(True)), same, "left")
+        found = F.when(ref(name).isNotNull(), ref(mark).isNotNull())
+        found = ~found if c.op == "notIn" else found
+        rest.append(F.coalesce(found, F.lit(True)) if c.op in WIDENED and c.include_nulls else found)
+    if not rest:
+        return df
+    return df.filter(reduce((lambda a, b: a | b) if rule.match == "any" else (lambda a, b: a & b), rest)).select(*[ref(c) for c in columns])
+
+
+def _typed(name: str, kind: T.DataType) -> Column:
+    """Texts from ``readable`` as values to compare with, as ``constant`` reads one."""
+    if isinstance(kind, T.IntegralType):
+        return F.substring_index(name, ".", 1).try_cast(kind)
+    return ref(name).try_cast(kind) if is_time(kind) or is_number(kind) or isinstance(kind, T.BooleanType) else ref(name)

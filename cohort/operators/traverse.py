@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, Edge, SubsetSpec
-from ..common import as_type, bucketed, column_type, fresh, own_identity, ref
+from ..common import as_type, bucketed, column_type, fresh, key_text, own_identity, ref
 from .select import Kept
 
 KEPT = "pk", "anonymize", "identity"
@@ -46,14 +46,14 @@ def children_of(edge: Edge, child: DataFrame, child_key: str, parent_rows: DataF
 
 
 def references_of(edge: Edge, child: DataFrame, child_key: str | None, rows: DataFrame | None, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Distinct non-null values ``ref`` by which the child's rows (all, or those in ``rows(pk)``) refer to the parent."""
+    """Distinct non-null values ``ref``, of the parent key's type, by which the child's rows (all, or those in ``rows(pk)``) refer to the parent."""
     if edge.type_column is not None:
         child = child.where(ref(edge.type_column).cast("string") == edge.type_value)
     if rows is not None:
         (pk,) = fresh(child, "pk_")
         child = child.join(rows.select(F.col("pk").alias(pk)), ref(child_key) == ref(pk), "left_semi")
     fk = as_type(ref(edge.column), column_type(parent, parent_key), column_type(child, edge.column))
-    return child.where(ref(edge.column).isNotNull()).select(fk.alias("ref"), ref(edge.column).cast("string").alias("spelled")).distinct()
+    return child.where(ref(edge.column).isNotNull()).select(fk.alias("ref")).distinct()
 
 
 @dataclass
@@ -261,12 +261,41 @@ def _plain_references(edge: Edge, child: DataFrame, key: str | None, rows: DataF
     return child.where(ref(edge.column).isNotNull()).select(ref(edge.column)).limit(1)
 
 
+def measured(edges: Sequence[Edge], tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> DataFrame:
+    """``(edge, parent, refs, nulls, distinct_refs, orphans, rows_dangling)`` of each edge, in their order of ``edges``.
+
+    ``refs`` and ``nulls`` count rows with and without a reference, ``orphans`` distinct references without a row, and
+    ``rows_dangling`` the rows that hold them.  A child table is scanned once, its references stacked to (edge, text); all distinct
+    references meet all parents' keys in one join, by the keys' texts.
+    """
+    targets = list(dict.fromkeys((e.parent, e.parent_column or keys[e.parent]) for e in edges))
+    by_child: dict[str, list[tuple[int, Edge]]] = {}
+    for i, e in enumerate(edges):
+        by_child.setdefault(e.child, []).append((i, e))
+    stacked = []
+    for child, mine in by_child.items():
+        df = tables[child]
+        facts = []
+        for i, e in mine:
+            target = targets.index((e.parent, e.parent_column or keys[e.parent]))
+            one = F.struct(F.lit(i).alias("i"), F.lit(target).alias("target"), key_text(ref(e.column), column_type(df, e.column)).alias("text"))
+            facts.append(one if e.type_column is None else F.when(ref(e.type_column).cast("string") == e.type_value, one))
+        stacked.append(df.select(F.explode(F.array(*facts)).alias("r")).where("r IS NOT NULL").select("r.*").groupBy("i", "target", "text").agg(F.count(F.lit(1)).alias("n")))
+    refs = reduce(DataFrame.unionByName, stacked)
+    there = [tables[p].select(F.lit(t).alias("target"), key_text(ref(c), column_type(tables[p], c)).alias("text")).where("text IS NOT NULL").distinct() for t, (p, c) in enumerate(targets)]
+    met = refs.join(reduce(DataFrame.unionByName, there).withColumn("there", F.lit(True)), ["target", "text"], "left")
+    none, lost = F.col("text").isNull(), F.col("text").isNotNull() & F.col("there").isNull()
+    counts = met.groupBy("i").agg(
+        F.sum(F.when(~none, F.col("n"))).alias("refs"), F.sum(F.when(none, F.col("n"))).alias("nulls"), F.count("text").alias("distinct_refs"),
+        F.count_if(lost).alias("orphans"), F.sum(F.when(lost, F.col("n"))).alias("rows_dangling"),
+    )
+    named = met.sparkSession.createDataFrame([(i, e.label, e.parent) for i, e in enumerate(edges)], "i int, edge string, parent string")
+    zero = F.lit(0).cast("long")
+    return named.join(counts, "i", "left").orderBy("i").select(
+        "edge", "parent", *[F.coalesce(c, zero).alias(c) for c in ("refs", "nulls", "distinct_refs", "orphans", "rows_dangling")]
+    )
+
+
 def orphans(edges: Sequence[Edge], tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> DataFrame:
-    """``(edge, orphans)``: distinct non-null references without a row, for each edge; one left-anti join an edge."""
-    parts = []
-    for e in edges:
-        parent, key = tables[e.parent], e.parent_column or keys[e.parent]
-        refs = references_of(e, tables[e.child], None, None, parent, key)
-        missing = refs.join(parent.select(ref(key).alias("key_")), F.col("ref") == F.col("key_"), "left_anti")
-        parts.append(missing.agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(e.label).alias("edge"), "orphans"))
-    return reduce(DataFrame.unionByName, parts)
+    """``(edge, orphans)``: distinct non-null references without a row, for each edge."""
+    return measured(edges, tables, keys).select("edge", "orphans")

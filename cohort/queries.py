@@ -150,6 +150,7 @@ def _(spark, sf):
 
 # ---- predicates ------------------------------------------------------------------------------------------------------
 
+AMOUNT = "CAST(floor(o_totalprice / 1000) AS DECIMAL(12, 2))"
 PREDICATES = {
     "eq": (Condition("buyer", "eq", "43"), "buyer = 43"),
     "eq_text": (Condition("cust_text", "eq", 43), "cust_text = '43'"),
@@ -172,18 +173,47 @@ PREDICATES = {
     "older_than": (Condition("o_orderdate", "olderThan", {"n": 3, "unit": "year"}), "o_orderdate < TIMESTAMP '1995-08-01 00:00:00'"),
     "matches": (Condition("priority", "matches", "^[12]-.*[A-Z]$"), "regexp_matches(priority, '^[12]-.*[A-Z]$')"),
     "pk": (Condition(None, "lt", 20), "o_orderkey < 20"),
+    "eq_float": (Condition("buyer", "eq", 43.0), "buyer = 43"),
+    "neq_float": (Condition("buyer", "neq", 43.0), "buyer <> 43 OR buyer IS NULL"),
+    "eq_text_float": (Condition("cust_text", "eq", 43.0), "cust_text = '43'"),
+    "in_float": (Condition("buyer", "in", (1.0, "2.00", 3.5, "x", 43.0)), "buyer IN (1, 2, 43)"),
+    "not_in_float": (Condition("buyer", "notIn", (1.0, 2.5, "4e1"), include_nulls=False), "buyer NOT IN (1, 40)"),
+    "eq_decimal": (Condition("amount", "eq", 150.0), "amount = 150"),
+    "in_decimal": (Condition("amount", "in", ("3", 4.0, "5.50", 150.005)), "amount IN (3, 4, 5.5)"),
 }
 
 
 def _predicate(condition: Condition):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return matching(read(spark, sf_dir, "orders")["orders"], Rule("orders", (condition,)), "o_orderkey", NOW).select("o_orderkey")
+        orders = read(spark, sf_dir, "orders")["orders"].withColumn("amount", F.expr(AMOUNT))
+        return matching(orders, Rule("orders", (condition,)), "o_orderkey", NOW).select("o_orderkey")
 
     return run
 
 
 for _name, (_condition, _sql) in PREDICATES.items():
-    query(f"pred_{_name}", f"SELECT o_orderkey FROM {O} WHERE {_sql}")(_predicate(_condition))
+    query(f"pred_{_name}", f"SELECT o_orderkey FROM (SELECT *, {AMOUNT} AS amount FROM {O}) WHERE {_sql}")(_predicate(_condition))
+
+#: Over a thousand values, in several spellings; some are no value of the column.
+MANY = (*range(0, 4000, 2), *(f"{n}.0" for n in range(1, 400, 4)), 7.0, 9.5, "x")
+MANY_SQL = "(SELECT range * 2 FROM range(2000) UNION ALL SELECT 1 + 4 * range FROM range(100) UNION ALL SELECT 7)"
+LISTS = {
+    "in_long_decimal": (Rule("orders", (Condition("amount", "in", MANY),)), f"amount IN {MANY_SQL}"),
+    "in_long_text": (Rule("orders", (Condition("cust_text", "in", tuple(v for v in MANY if not isinstance(v, str))),)), "CAST(cust_text AS BIGINT) IN (SELECT range * 2 FROM range(2000) UNION ALL SELECT 7)"),
+    "in_long_any": (Rule("orders", (Condition("buyer", "in", MANY), Condition("o_orderstatus", "eq", "P")), "any"), f"buyer IN {MANY_SQL} OR o_orderstatus = 'P'"),
+    "not_in_long": (Rule("orders", (Condition("buyer", "notIn", MANY), Condition("o_orderstatus", "eq", "O"))), f"(buyer NOT IN {MANY_SQL} OR buyer IS NULL) AND o_orderstatus = 'O'"),
+}
+
+
+def _ruled(rule: Rule):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return matching(read(spark, sf_dir, "orders")["orders"].withColumn("amount", F.expr(AMOUNT)), rule, "o_orderkey", NOW).select("o_orderkey")
+
+    return run
+
+
+for _name, (_rule, _sql) in LISTS.items():
+    query(f"pred_{_name}", f"SELECT o_orderkey FROM (SELECT *, {AMOUNT} AS amount FROM {O}) WHERE {_sql}")(_ruled(_rule))
 
 
 @query("pred_all", f"SELECT o_orderkey FROM {O} WHERE o_orderstatus = 'F' AND o_totalprice > 1000 AND buyer IS NOT NULL")
@@ -326,6 +356,19 @@ def _(spark, sf):
     return kept_table(_cascaded(read(spark, sf, "customer", "orders"), SubsetSpec(rules=(BUILDING,)), catalog))
 
 
+#: Every second key is padded, so its text is another one.
+PADDED = "CASE WHEN o_orderkey % 2 = 0 THEN concat('00', o_custkey) ELSE CAST(o_custkey AS VARCHAR(20)) END"
+
+
+@query("cascade_padded_text", f"SELECT 'customer' AS \"table\", CAST(c_custkey AS VARCHAR) AS pk, TRUE AS anonymize, CAST(NULL AS VARCHAR) AS identity FROM {BUILDING_SQL} UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), TRUE, 'customer:' || o_custkey FROM orders WHERE o_custkey IN {BUILDING_SQL} AND o_orderkey % 2 <> 0")
+def _(spark, sf):
+    """A text refers to a number by the number's own text: ``007`` is not 7."""
+    t = read(spark, sf, "customer", "orders")
+    t["orders"] = t["orders"].withColumn("padded", F.expr(PADDED))
+    catalog = Catalog({n: CATALOG.tables[n] for n in ("customer", "orders")}, (ForeignKey("orders", "padded", "customer", "c_custkey"),))
+    return kept_table(_cascaded(t, SubsetSpec(rules=(BUILDING,)), catalog))
+
+
 NEWEST = Rule("orders", (Condition("o_orderstatus", "eq", "F"), Condition("o_totalprice", "gt", 1000)), take=Take("top", 20, "o_orderdate"), anonymize=False)
 NEWEST_SQL = "(SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 20)"
 UP = SubsetSpec({"lineitem": "excluded", "events": "excluded"}, (NEWEST,))
@@ -341,6 +384,16 @@ def _backfilled(t: dict[str, DataFrame], spec: SubsetSpec, catalog: Catalog = CA
     return kept, backfill(kept, t, catalog, spec)
 
 
+@query("backfill_typed_differently", f"SELECT 'customer' AS \"table\", CAST(c_custkey AS VARCHAR) AS pk FROM customer WHERE c_custkey IN (SELECT o_custkey FROM {NEWEST_SQL})")
+def _(spark, sf):
+    """References that are floating or decimal numbers, to whole numbers."""
+    t = read(spark, sf, "customer", "orders")
+    t["orders"] = t["orders"].withColumns({"d": F.col("o_custkey").cast("double"), "n": F.col("o_custkey").cast("decimal(20,3)"), "half": F.col("o_custkey") + 0.5})
+    fks = tuple(ForeignKey("orders", c, "customer", "c_custkey") for c in ("d", "n", "half"))
+    kept = _backfilled(t, UP, Catalog({n: CATALOG.tables[n] for n in ("customer", "orders")}, fks))[0]
+    return kept_table(kept).where(F.col("table") == "customer").select("table", "pk")
+
+
 @query("backfill_up", BACKFILL_SQL + """
     SELECT 'orders' AS "table", CAST(o_orderkey AS VARCHAR) AS pk, FALSE AS anonymize, CAST(NULL AS VARCHAR) AS identity FROM o
     UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), TRUE, NULL FROM c

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..catalog import Catalog, Edge, ForeignKey, MorphRelation, SubsetSpec
 from ..common import ref
 from ..operators.links import guess_table
-from ..operators.traverse import orphans, references_of
+from ..operators.traverse import measured
 from .scans import distinct_values
 
 #: A type column holds a handful of values; so many are looked at.
@@ -30,18 +30,20 @@ PERSONAL_VALUES = {
 
 
 def profile_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """``(table, column, rows, nulls, distinct_values, is_unique)``: one aggregation a table over its atomic columns."""
+    """``(table, column, rows, nulls, distinct_values, is_unique)`` of each atomic column.
+
+    A column's values are grouped on their own, with partial counts: no row is expanded once a column, and a columnar source
+    reads each column once.
+    """
     parts = []
     for name, df in tables.items():
-        columns = [f.name for f in df.schema if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType)]
-        facts = [F.struct(F.lit(c).alias("column"), F.count(ref(c)).alias("present"), F.count_distinct(ref(c)).alias("distinct_values")) for c in columns]
-        one = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*facts).alias("facts"))
-        parts.append(one.select(F.lit(name).alias("table"), "rows", F.explode("facts").alias("f")))
-    found = reduce(DataFrame.unionByName, parts)
-    return found.select(
-        "table", F.col("f.column").alias("column"), "rows", (F.col("rows") - F.col("f.present")).alias("nulls"),
-        F.col("f.distinct_values").alias("distinct_values"), (F.col("f.distinct_values") == F.col("rows")).alias("is_unique"),
-    )
+        for f in df.schema:
+            if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+                continue
+            groups = df.groupBy(ref(f.name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            facts = F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct_values")
+            parts.append(groups.agg(*facts).select(F.lit(name).alias("table"), F.lit(f.name).alias("column"), "rows", "nulls", "distinct_values"))
+    return reduce(DataFrame.unionByName, parts).withColumn("is_unique", F.col("distinct_values") == F.col("rows"))
 
 
 def addressable(tables: Mapping[str, DataFrame], catalog: Catalog) -> DataFrame:
@@ -60,13 +62,8 @@ def addressable(tables: Mapping[str, DataFrame], catalog: Catalog) -> DataFrame:
 
 def edge_facts(tables: Mapping[str, DataFrame], edges: Sequence[ForeignKey]) -> DataFrame:
     """``(edge, parent, refs, nulls, orphans)`` of each foreign key, measured."""
-    parts = []
-    for f in edges:
-        e = Edge(f.table, f.column, f.parent, f.parent_column)
-        counts = tables[f.table].agg(F.count(ref(f.column)).alias("refs"), F.count_if(ref(f.column).isNull()).alias("nulls"))
-        missing = orphans([e], tables, {}).select("orphans")
-        parts.append(counts.join(F.broadcast(missing)).select(F.lit(f.label).alias("edge"), F.lit(f.parent).alias("parent"), "refs", "nulls", "orphans"))
-    return reduce(DataFrame.unionByName, parts)
+    found = measured([Edge(f.table, f.column, f.parent, f.parent_column) for f in edges], tables, {})
+    return found.select("edge", "parent", "refs", "nulls", "orphans")
 
 
 def edge_summary(tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpec) -> DataFrame:
@@ -150,13 +147,4 @@ def unmapped_types(tables: Mapping[str, DataFrame], relations: Sequence[MorphRel
 
 def integrity_audit(tables: Mapping[str, DataFrame], edges: Sequence[Edge], keys: Mapping[str, str]) -> DataFrame:
     """``(edge, rows_dangling, orphans)`` over an output: rows that refer to nothing, and distinct values so referred to."""
-    parts = []
-    for e in edges:
-        parent, key = tables[e.parent], e.parent_column or keys[e.parent]
-        refs = references_of(e, tables[e.child], None, None, parent, key)
-        missing = refs.join(parent.select(ref(key).alias("key_")), F.col("ref") == F.col("key_"), "left_anti")
-        child = tables[e.child] if e.type_column is None else tables[e.child].where(ref(e.type_column).cast("string") == e.type_value)
-        rows = child.select(ref(e.column).cast("string").alias("spelled")).groupBy("spelled").agg(F.count(F.lit(1)).alias("n"))
-        both = missing.join(rows, "spelled").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_dangling"), F.count(F.lit(1)).alias("orphans"))
-        parts.append(both.select(F.lit(e.label).alias("edge"), "rows_dangling", "orphans"))
-    return reduce(DataFrame.unionByName, parts)
+    return measured(edges, tables, keys).select("edge", "rows_dangling", "orphans")
