@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import json
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +17,17 @@ from ..common import ref
 
 BATCH_ROWS = 500
 DIALECTS = ("mysql", "postgres", "sqlite")
+# Settings under which the text loads as it was written, and those that restore what was there.
+SESSION = {
+    "mysql": ("SET NAMES utf8mb4;", "SET @COHORT_TIME_ZONE = @@SESSION.time_zone;", "SET @COHORT_SQL_MODE = @@SESSION.sql_mode;", "SET SESSION time_zone = '+00:00';", "SET SESSION sql_mode = 'NO_AUTO_VALUE_ON_ZERO';"),
+    "postgres": ("SET client_encoding = 'UTF8';", "SET standard_conforming_strings = on;", "SET TIME ZONE 'UTC';"),
+    "sqlite": (),
+}
+RESTORE = {
+    "mysql": ("SET SESSION time_zone = @COHORT_TIME_ZONE;", "SET SESSION sql_mode = @COHORT_SQL_MODE;"),
+    "postgres": ("RESET TIME ZONE;", "RESET standard_conforming_strings;", "RESET client_encoding;"),
+    "sqlite": (),
+}
 # Statements that switch foreign keys off and on, and empty a table.
 FOREIGN_KEYS_OFF = {"mysql": "SET FOREIGN_KEY_CHECKS = 0;", "postgres": "SET session_replication_role = replica;", "sqlite": "PRAGMA foreign_keys = OFF;"}
 FOREIGN_KEYS_ON = {"mysql": "SET FOREIGN_KEY_CHECKS = 1;", "postgres": "SET session_replication_role = origin;", "sqlite": "PRAGMA foreign_keys = ON;"}
@@ -67,12 +80,19 @@ def literal(c: Column, kind: T.DataType, dialect: str) -> Column:
     elif isinstance(kind, T.ArrayType | T.MapType | T.StructType):
         out = text_literal(F.to_json(c), dialect)
     elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        out = text_literal(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), dialect)
+        out = text_literal(_moment(c, kind), dialect)
     else:
         out = text_literal(c.cast("string"), dialect)
     return F.coalesce(out, F.lit("NULL"))
 
 
+def _moment(c: Column, kind: T.DataType) -> Column:
+    """A time's text, with what it has of a second's fraction; instants in UTC, to which the script sets the session."""
+    if isinstance(kind, T.TimestampType):
+        c = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+    return c.cast("string")
+
+
 def _postgres_array(c: Column, kind: T.ArrayType) -> Column:
     """``{"a","b",NULL}``, nested arrays inside."""
 
@@ -83,6 +103,8 @@ def _postgres_array(c: Column, kind: T.ArrayType) -> Column:
             text = F.concat(F.lit("\\x"), F.lower(F.hex(x)))
         elif isinstance(kind.elementType, T.StructType | T.MapType):
             text = F.to_json(x)
+        elif isinstance(kind.elementType, T.TimestampType | T.TimestampNTZType):
+            text = _moment(x, kind.elementType)
         else:
             text = x.cast("string")
         spelled = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
@@ -145,43 +167,97 @@ def load_order(names: Sequence[str], foreign_keys: Sequence[ForeignKey]) -> list
     return out
 
 
-def write_sql(tables: Mapping[str, DataFrame], catalog: Catalog, folder: str, dialect: str, batch: int = BATCH_ROWS, combined: bool = False) -> dict:
-    """A folder of statement files per table, and a manifest with header, order, and footer; returns the manifest.
+def write_sql(tables: Mapping[str, DataFrame], catalog: Catalog, folder: str, dialect: str, batch: int = BATCH_ROWS) -> list[str]:
+    """Write one re-runnable script as numbered steps, ``folder/step=NNNN-name/part-*``; returns the steps in load order.
 
-    The load is re-runnable: foreign keys off, tables emptied children first, rows put in parents first, sequences set, keys on.
-    ``combined`` writes each table as one file, for small results only.
+    The header sets the session, switches foreign keys off and empties the tables, children first; a step a table follows, parents
+    first; the footer sets sequences and restores the session.  All part files in the order of their paths are the script, as they
+    are or put together (``cat``); rows are written by the tasks that have them, none through one task.  It is one job under Spark's
+    commit protocol, so a write that fails leaves no step behind.
     """
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect {dialect!r}")
+    if not tables:
+        return []
     order = load_order(list(tables), catalog.foreign_keys)
-    for name in order:
-        generated = catalog.tables[name].generated if name in catalog.tables else ()
-        statements = insert_statements(tables[name], name, dialect, batch, generated)
-        (statements.coalesce(1) if combined else statements).write.mode("overwrite").text(f"{folder}/{name}")
-    footer = []
+    spark = tables[order[0]].sparkSession
+    header = [*SESSION[dialect], FOREIGN_KEYS_OFF[dialect], *[TRUNCATE[dialect].format(quoted(n, dialect)) for n in reversed(order)]]
+    footer = [FOREIGN_KEYS_ON[dialect], *RESTORE[dialect]]
     if dialect == "postgres" and (state := sequence_state(tables, catalog)) is not None:
-        for r in state.collect():
-            where = f"pg_get_serial_sequence('{quoted(r.table, dialect)}', '{r.column}')"
-            footer.append(f"SELECT pg_catalog.setval({where}, {r.value}, {str(r.is_called).lower()});")
-    manifest = {
-        "dialect": dialect,
-        "header": [FOREIGN_KEYS_OFF[dialect], *[TRUNCATE[dialect].format(quoted(n, dialect)) for n in reversed(order)]],
-        "order": order,
-        "footer": [*footer, FOREIGN_KEYS_ON[dialect]],
-    }
-    first = next(iter(tables.values()), None)
-    if first is not None:
-        spark = first.sparkSession
-        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_manifest")
-    return manifest
-
-
-def write_parquet(tables: Mapping[str, DataFrame], folder: str) -> None:
+        at = {(r.table, r.column): r for r in state.collect()}  # one row a sequence
+        footer = [f"SELECT pg_catalog.setval({_sequence(t, c)}, {r.value}, {str(r.is_called).lower()});" for (t, c), r in at.items()] + footer
+    steps = [f"{0:04d}-header", *(f"{i:04d}-{re.sub(r'[^A-Za-z0-9_]', '_', n)}" for i, n in enumerate(order, 1)), f"{len(order) + 1:04d}-footer"]
+
+    def step(name: str, statements: DataFrame) -> DataFrame:
+        return statements.select(F.lit(name).alias("step"), F.col("statement").alias("value"))
+
+    def fixed(lines: Sequence[str]) -> DataFrame:
+        return spark.createDataFrame([("\n".join(lines),)], "statement string").coalesce(1)
+
+    parts = [step(steps[0], fixed(header))]
+    for i, n in enumerate(order, 1):
+        generated = catalog.tables[n].generated if n in catalog.tables else ()
+        parts.append(step(steps[i], insert_statements(tables[n], n, dialect, batch, generated)))
+    parts.append(step(steps[-1], fixed(footer)))
+    # a task's rows are of one step, so they need no sort by step before they are written
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers, None)
+    spark.conf.set(writers, str(len(steps)))
+    try:
+        reduce(DataFrame.unionByName, parts).write.mode("overwrite").partitionBy("step").text(folder)
+    finally:
+        spark.conf.unset(writers) if before is None else spark.conf.set(writers, before)
+    return steps
+
+
+def _sequence(table: str, column: str) -> str:
+    """The call that finds the sequence of a column; both names as text constants."""
+    doubled = [quoted(table, "postgres").replace("'", "''"), column.replace("'", "''")]
+    return "pg_get_serial_sequence('{}', '{}')".format(*doubled)
+
+
+def write_parquet(tables: Mapping[str, DataFrame], folder: str) -> dict[str, int]:
+    """Write each table, and count its rows in the same job."""
+    counts = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        seen = Observation(f"rows of {name}")
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        counts[name] = seen.get["rows"]
+    return counts
+
+
+RUN = "run_id string, at timestamp_ntz, state string, row_counts map<string,bigint>, warnings array<string>, error string"
+
+
+class RunRecord:
+    """A run's states, appended to a table as they come: ``started``, then ``complete`` with counts and warnings, or ``failed`` with the error.
+
+    Used as a context: what leaves it is recorded, whatever the job did.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.run_id = spark, path, uuid.uuid4().hex
+        self.counts: dict[str, int] = {}
+        self.warnings: list[str] = []
+
+    def _append(self, state: str, error: str | None = None) -> None:
+        row = (self.run_id, datetime.now(UTC).replace(tzinfo=None), state, dict(self.counts), list(self.warnings), error)
+        self.spark.createDataFrame([row], RUN).coalesce(1).write.mode("append").parquet(self.path)
+
+    def __enter__(self) -> RunRecord:
+        self._append("started")
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if error is None:
+            self._append("complete")
+        else:
+            self._append("failed", f"{kind.__name__}: {error}"[:2000])
 
 
-def record_run(spark: SparkSession, path: str, status: str, counts: Mapping[str, int], warnings: Sequence[str] = (), error: str | None = None) -> None:
-    """Append one row to the table of runs."""
-    row = (datetime.now(UTC).replace(tzinfo=None), status, dict(counts), list(warnings), error)
-    spark.createDataFrame([row], "finished timestamp_ntz, status string, row_counts map<string,bigint>, warnings array<string>, error string").coalesce(1).write.mode("append").parquet(path)
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """``(run_id, started, finished, state, row_counts, warnings, error)``: one row a run, by its last state; ``finished`` is null while it goes on."""
+    done = F.col("state") != "started"
+    last = F.max_by(F.struct("state", "row_counts", "warnings", "error"), F.struct(done, "at")).alias("last")
+    found = spark.read.schema(RUN).parquet(path).groupBy("run_id").agg(F.min("at").alias("started"), F.max(F.when(done, F.col("at"))).alias("finished"), last)
+    return found.select("run_id", "started", "finished", "last.*")

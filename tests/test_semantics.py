@@ -19,9 +19,10 @@ from cohort.operators.links import detect_links, guess_table, link_rows, snake_c
 from cohort.operators.policy import check_policies
 from cohort.operators.select import seed_rows, take
 from cohort.operators.traverse import DeltaLog, backfill, cascade, measured
+from cohort.plans.job import run_job
 from cohort.plans.subset import subset
 from cohort.sources.profile import looks_personal
-from cohort.sources.sinks import insert_statements, literal, load_order, record_run, write_sql
+from cohort.sources.sinks import insert_statements, literal, load_order, runs, write_sql
 from cohort.streaming.anonymize_stream import run_once
 
 NOW = datetime(2026, 8, 29, 12, tzinfo=UTC)
@@ -341,11 +342,69 @@ def test_statements_and_files(spark, tmp_path):
     tables, catalog = world(spark)
     rows = [r.statement for r in insert_statements(tables["posts"].coalesce(1), "posts", "sqlite", 2).collect()]
     assert len(rows) == 2 and rows[0].startswith('INSERT INTO "posts" ("id", "user_id", "editor_id") VALUES\n(10, 1, 99),\n(11, 2, NULL);')
-    manifest = write_sql(tables, catalog, str(tmp_path / "out"), "postgres")
-    assert manifest["order"] == ["users", "posts"] and manifest["header"][1:] == ['TRUNCATE TABLE "posts" CASCADE;', 'TRUNCATE TABLE "users" CASCADE;']
-    assert "OVERRIDING SYSTEM VALUE" in "".join(r.value for r in spark.read.text(str(tmp_path / "out" / "users")).collect())
-    record_run(spark, str(tmp_path / "runs"), "done", {"users": 3}, ["w"])
-    assert spark.read.parquet(str(tmp_path / "runs")).count() == 1
+    steps = write_sql(tables, catalog, str(tmp_path / "out"), "postgres")
+    assert steps == ["0000-header", "0001-users", "0002-posts", "0003-footer"]
+    script = script_of(tmp_path / "out")
+    assert script.index('TRUNCATE TABLE "posts" CASCADE;') < script.index('TRUNCATE TABLE "users" CASCADE;') < script.index('INSERT INTO "users"') < script.index('INSERT INTO "posts"')
+    assert "OVERRIDING SYSTEM VALUE" in script and script.index("standard_conforming_strings = on") < script.index("replica") < script.index("origin") < script.index("RESET TIME ZONE")
+    assert "time_zone = '+00:00'" in (write_sql(tables, catalog, str(tmp_path / "my"), "mysql") and script_of(tmp_path / "my"))
+
+
+def script_of(folder):
+    return "".join(p.read_text() for p in sorted(folder.glob("step=*/part-*")))
+
+
+def test_script_loads_twice(spark, tmp_path):
+    """The SQLite form, with odd texts, fractions of seconds, bytes and nulls, in many parts; loaded twice, the same rows."""
+    import sqlite3
+
+    moment = "2026-01-02 03:04:05.678901"
+    users = spark.range(1203).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("O'Neil \\\\ \n;\t"), "id")).alias("name"), F.lit(moment).cast("timestamp_ntz").alias("at"), F.encode(F.lit("\x00é"), "UTF-8").alias("raw"), (F.col("id") / 4).alias("d"), F.upper("id").alias("gen"))
+    posts = spark.range(40).select("id", F.col("id").alias("user_id"), F.lit("a\x00b").alias("t"))
+    catalog = Catalog({"users": Table("users", ("id",), generated=("gen",)), "posts": Table("posts", ("id",))}, (ForeignKey("posts", "user_id", "users", "id"),))
+    write_sql({"posts": posts, "users": users.repartition(5)}, catalog, str(tmp_path / "out"), "sqlite", 100)
+    assert len(list((tmp_path / "out").glob("step=0001-users/part-*"))) == 5
+    con = sqlite3.connect(":memory:", isolation_level=None)
+    con.executescript("CREATE TABLE users (id INTEGER PRIMARY KEY, name TEXT, at TEXT, raw BLOB, d REAL, gen TEXT AS (id || '') STORED); CREATE TABLE posts (id INTEGER PRIMARY KEY, user_id INTEGER REFERENCES users(id), t TEXT);")
+    for _ in range(2):
+        con.executescript(script_of(tmp_path / "out"))
+        got = con.execute("SELECT * FROM users ORDER BY id").fetchall()
+        assert got == [(r.id, r.name, moment, bytes(r.raw), r.d, r.gen) for r in users.orderBy("id").collect()]
+        assert con.execute("SELECT count(*), count(DISTINCT t), max(length(CAST(t AS BLOB))) FROM posts").fetchone() == (40, 1, 3)
+
+
+def test_aborted_script_leaves_nothing(spark, tmp_path):
+    bad = spark.range(100).repartition(4).select("id", F.when(F.col("id") == 77, F.raise_error(F.lit("boom"))).otherwise(F.lit("x")).alias("t"))
+    catalog = Catalog({"b": Table("b", ("id",))})
+    with pytest.raises(Exception, match="boom"):
+        write_sql({"b": bad}, catalog, str(tmp_path / "out"), "sqlite", 5)
+    assert not list((tmp_path / "out").glob("step=*"))
+
+
+def test_times_in_scripts(spark):
+    df = spark.sql("SELECT TIMESTAMP '2026-01-02 03:04:05.5' AS t, TIMESTAMP_NTZ '2026-01-02 03:04:05.678901' AS n, TIMESTAMP_NTZ '2026-01-02 03:04:05' AS w, array(TIMESTAMP_NTZ '2026-01-02 03:04:05.25', NULL) AS l")
+    for zone, t in (("UTC", "03:04:05.5"), ("America/New_York", "08:04:05.5")):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.sql("SELECT TIMESTAMP '2026-01-02 03:04:05.5' AS t, TIMESTAMP_NTZ '2026-01-02 03:04:05.678901' AS n, TIMESTAMP_NTZ '2026-01-02 03:04:05' AS w, array(TIMESTAMP_NTZ '2026-01-02 03:04:05.25', NULL) AS l")
+        (r,) = df.select(*[literal(F.col(f.name), f.dataType, "postgres") for f in df.schema]).collect()
+        assert list(r) == [f"'2026-01-02 {t}'", "'2026-01-02 03:04:05.678901'", "'2026-01-02 03:04:05'", " E'{\"2026-01-02 03:04:05.25\",NULL}'".replace(" E'", "'")]
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_job_with_its_record(spark, tmp_path):
+    tables, catalog = world(spark)
+    spec = SubsetSpec(rules=(Rule("users"),))
+    path = str(tmp_path / "runs")
+    for dialect in (None, "sqlite"):
+        out = run_job(tables, catalog, spec, str(tmp_path / f"out-{dialect}"), path, NOW, dialect=dialect)
+        want = {n: df.count() for n, df in out.tables.items()}
+        last = runs(spark, path).orderBy(F.desc("started")).first()
+        assert last.state == "complete" and last.row_counts == want and last.finished >= last.started and last.error is None
+    broken = tables | {"users": tables["users"].withColumn("email", F.when(F.col("id") > 0, F.raise_error(F.lit("no such disk"))))}
+    with pytest.raises(Exception, match="no such disk"):
+        run_job(broken, catalog, spec, str(tmp_path / "bad"), path, NOW)
+    failed = runs(spark, path).where("state = 'failed'").collect()
+    assert len(failed) == 1 and "no such disk" in failed[0].error and runs(spark, path).count() == 3
 
 
 def test_load_order_with_cycle():
