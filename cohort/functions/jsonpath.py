@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -46,10 +47,17 @@ def overlay(value: Column, bindings: Sequence[Binding], key_prefix: Column, loca
 
 
 def rewrite(text: str | None, plan: Sequence[tuple[str, str, bool]], fakes: Sequence[str | None]) -> str | None:
-    """One value of ``overlay``."""
+    """One value of ``overlay``.  Numbers keep their text; what nests too deep to be read is no JSON object here, and stays as it is."""
+    if text is None:
+        return None
+    mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text and not any(f and c in f for f in fakes))
+
+    def number(spelled: str) -> str:
+        return mark + spelled + mark
+
     try:
-        root = json.loads(text) if text is not None else None
-    except ValueError:
+        root = json.loads(text, parse_float=number, parse_int=number)
+    except (ValueError, RecursionError):
         return text
     if not isinstance(root, dict):
         return text
@@ -64,7 +72,12 @@ def rewrite(text: str | None, plan: Sequence[tuple[str, str, bool]], fakes: Sequ
             node[leaf] = None
         elif known and node[leaf] is not None:
             node[leaf] = fake
-    return json.dumps(root, ensure_ascii=False, separators=(",", ":"))
+    try:
+        out = json.dumps(root, ensure_ascii=False, separators=(",", ":"))
+    except RecursionError:
+        return text
+    out = re.sub(f'"{mark}([^"{mark}]*){mark}"', r"\1", out)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", out)  # half of a pair, which is no character
 
 
 def discover(df: DataFrame, column: str, sample: int | None = None, order: Sequence[Column] = ()) -> DataFrame:
@@ -75,22 +88,27 @@ def discover(df: DataFrame, column: str, sample: int | None = None, order: Seque
     texts = df.select(ref(column).cast("string").alias("j")).where("j IS NOT NULL")
     if sample is not None:
         texts = df.where(ref(column).isNotNull()).orderBy(*order).limit(sample).select(ref(column).cast("string").alias("j"))
-    rows = texts.select(F.try_parse_json("j").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    total = rows.agg(F.count(F.lit(1)).alias("sampled"))
-    level = rows.select(F.lit("").alias("prefix"), F.col("v").alias("node"))
-    leaves = None
-    for depth in range(1, MAX_DEPTH + 1):
-        level.createOrReplaceTempView("cohort_json_level")
-        inner = df.sparkSession.sql("SELECT prefix, e.key AS key, e.value AS node FROM cohort_json_level, LATERAL variant_explode(node) AS e")
-        kind = F.schema_of_variant("node")
-        inner = inner.select(F.concat("prefix", "key").alias("path"), "node", kind.alias("kind"))
-        nested = F.col("kind").startswith("OBJECT")
-        here = inner.where(~nested) if depth < MAX_DEPTH else inner
-        here = here.select("path", _type_name(F.col("kind")).alias("type"))
-        leaves = here if leaves is None else leaves.unionByName(here)
-        level = inner.where(nested).select(F.concat("path", F.lit(".")).alias("prefix"), "node")
-    found = leaves.groupBy("path").agg(F.array_sort(F.collect_set("type")).alias("types"), F.count(F.lit(1)).alias("present_in"))
-    return found.join(F.broadcast(total))
+    parsed = texts.select(F.try_parse_json("j").alias("node0")).where(_is_object("node0"))
+    spark, paths, kinds, first = df.sparkSession, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(True)
+    for depth in range(1, MAX_DEPTH + 1):  # one level inside the other: each row is parsed once, and comes out once a leaf
+        inside = F.when(_is_object(f"node{depth - 1}"), F.col(f"node{depth - 1}"))
+        level = spark.tvf.variant_explode_outer(inside.outer()).toDF(f"pos{depth}", f"key{depth}", f"node{depth}")
+        parsed = parsed.lateralJoin(level)
+        key, node = F.col(f"key{depth}"), f"node{depth}"
+        path = F.concat_ws(".", *[f"key{i}" for i in range(1, depth + 1)])
+        leaf = key.isNotNull() & (F.lit(depth == MAX_DEPTH) | ~_is_object(node))
+        paths, kinds = F.when(leaf, path).otherwise(paths), F.when(leaf, F.schema_of_variant(node)).otherwise(kinds)
+        first &= F.coalesce(F.col(f"pos{depth}"), F.lit(0)) == 0
+    leaves = parsed.select(paths.alias("path"), kinds.alias("kind"), first.cast("long").alias("first"))
+    found = leaves.withColumn("type", _type_name(F.col("kind"))).groupBy("path").agg(
+        F.array_sort(F.collect_set("type")).alias("types"), F.count(F.lit(1)).alias("present_in"), F.sum("first").alias("first")
+    )
+    total = found.agg(F.coalesce(F.sum("first"), F.lit(0)).alias("sampled"))
+    return found.where("path IS NOT NULL").drop("first").join(F.broadcast(total))
+
+
+def _is_object(variant: str) -> Column:
+    return F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
 
 
 def _type_name(kind: Column) -> Column:

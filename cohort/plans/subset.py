@@ -14,7 +14,7 @@ from ..catalog import Catalog, SubsetSpec
 from ..common import fresh, materialize, ref
 from ..operators.anonymize import anonymize, country_of, declared_identity, entity_countries
 from ..operators.links import detect_links, link_rows
-from ..operators.policy import check_policies, null_dangling
+from ..operators.policy import borne_out, check_policies, null_dangling
 from ..operators.select import Kept, flag_rules, seed_rows
 from ..operators.traverse import Backfill, backfill, cascade
 
@@ -45,9 +45,12 @@ class Subset:
         return self.row_counts().agg(F.count_if(F.col("rows") > 0).alias("tables_with_rows"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
 
 
-def select_rows(tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpec, now: datetime, seed: str = "") -> tuple[Kept, Backfill, DataFrame | None, dict, list[str]]:
-    """Kept rows of a job, before anything is emitted."""
+def select_rows(tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpec, now: datetime, seed: str = "", measure: bool = False) -> tuple[Kept, Backfill, DataFrame | None, dict, list[str]]:
+    """Kept rows of a job, before anything is emitted; ``measure`` checks the ``null`` policies against the data."""
     policies, warnings = check_policies(catalog, spec)
+    if measure and policies:
+        policies, more = borne_out(tables, catalog, spec, policies)
+        warnings += more
     kept, more = seed_rows(tables, catalog, spec, now, seed)
     warnings += more + cascade(kept, tables, catalog, spec)
     report = backfill(kept, tables, catalog, spec, policies)
@@ -55,10 +58,10 @@ def select_rows(tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetS
     return kept, report, flagged, policies, warnings + report.warnings + more
 
 
-def subset(tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpec, now: datetime | None = None, seed: str = "") -> Subset:
+def subset(tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpec, now: datetime | None = None, seed: str = "", measure: bool = False) -> Subset:
     """Cut and anonymize.  Every table but excluded ones comes out: whole, as a subset, or (structure) without rows."""
     now = now or datetime.now(UTC)
-    kept, report, flagged, policies, warnings = select_rows(tables, catalog, spec, now, seed)
+    kept, report, flagged, policies, warnings = select_rows(tables, catalog, spec, now, seed, measure)
     links, more = detect_links(catalog, spec)
     warnings += more
     by_name = {link.table: link for link in links}

@@ -25,7 +25,7 @@ from .functions.locale import locale_of
 from .functions.predicates import matching
 from .operators.anonymize import anonymize
 from .operators.links import detect_links, link_rows, morph_match, row_filter
-from .operators.policy import check_policies, null_dangling
+from .operators.policy import check_policies, measured_policies, null_dangling
 from .operators.select import Kept, flag_rules, preview, rule_rows, seed_rows
 from .operators.traverse import backfill, cascade, edges_of, orphans
 from .plans.subset import nulled_counts, select_rows, subset
@@ -746,6 +746,38 @@ def _(spark, sf):
     return profile.personal_scan(spark, t, SubsetSpec())
 
 
+KINDS = "CASE WHEN event_id % 3 = 0 THEN 'App\\\\Models\\\\Order' WHEN event_id % 3 = 1 THEN 'customer' ELSE concat('Kind', event_id % 97) END"
+
+
+@query("detect_morph_many", f"""
+    SELECT DISTINCT 'events' AS "table", 'subject_type' AS type_column, 'subject_id' AS id_column, kind AS type_value,
+        CASE WHEN kind LIKE '%Order' THEN 'orders' WHEN kind = 'customer' THEN 'customer' END AS guessed_table
+    FROM (SELECT {KINDS.replace(chr(92) * 2, chr(92))} AS kind FROM events)
+""")
+def _(spark, sf):
+    """Far more type values than a handful."""
+    t = read(spark, sf, "events", "orders", "customer")
+    t["events"] = t["events"].select("event_id", F.expr(KINDS).alias("subject_type"), F.col("user_id").alias("subject_id"))
+    return profile.detect_morphs(spark, t, CATALOG)
+
+
+@query("policy_measured", """
+    SELECT * FROM (VALUES ('orders.buyer', 'null', NULL), ('orders.o_custkey', 'follow', 'holds no null'), ('orders.nation', 'follow', 'the parent column is no key'),
+        ('orders.far', 'follow', 'most of its references are not there')) v(edge, policy, reason)
+    WHERE (SELECT count(*) FROM orders WHERE o_custkey IS NULL) = 0 AND (SELECT count(*) > count(DISTINCT c_nationkey) FROM customer)
+""")
+def _(spark, sf):
+    """Declared as nullable references to keys; the data say otherwise of three of them."""
+    t = read(spark, sf, "orders", "customer")
+    t["orders"] = t["orders"].withColumns({
+        "nation": F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey") % 25), "far": F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") + 10_000_000),
+    })
+    fks = tuple(ForeignKey("orders", c, "customer", k, True) for c, k in (("buyer", "c_custkey"), ("o_custkey", "c_custkey"), ("nation", "c_nationkey"), ("far", "c_custkey")))
+    catalog = Catalog({n: CATALOG.tables[n] for n in t}, fks)
+    spec = SubsetSpec(policies={("orders", f.column): "null" for f in fks})
+    return measured_policies(t, catalog, spec)
+
+
 @query("integrity_audit", f"SELECT 'orders.broken' AS edge, count(*) AS rows_dangling, count(DISTINCT broken) AS orphans FROM {O} WHERE broken NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lineitem.l_orderkey', 0, 0")
 def _(spark, sf):
     t = read(spark, sf, "orders", "customer", "lineitem")
@@ -776,6 +808,19 @@ query("sql_rows_postgres", _literal_sql("' E' || chr(39) || nick || '''''s \\\\
 query("sql_rows_sqlite", _literal_sql("chr(39) || nick || '''''s \\ x' || chr(39)", "1", "0", "concat('X''', lower(hex(c_name)), '''')"))(_literals("sqlite"))
 
 
+@query("sql_rows_odd_values", """
+    SELECT concat('(', o_orderkey, ', ''', strftime(o_orderdate, '%Y-%m-%d 00:00:00'), CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.125' ELSE '.25' END, ''', ',
+        CASE WHEN o_orderkey % 5 = 0 THEN '''NaN''' ELSE '0.5' END, ', ', ' E''{"\\\\"', o_orderstatus, '\\\\"",NULL}''', ')') AS row FROM orders
+""")
+def _(spark, sf):
+    """Fractions of seconds, numbers that are none, arrays with nulls and quotes."""
+    t = read(spark, sf, "orders")["orders"]
+    moment = F.col("o_orderdate").cast("date").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("o_orderkey") % 3 / 8).cast("decimal(18,6)"))
+    odd = F.when(F.col("o_orderkey") % 5 == 0, F.lit(float("nan"))).otherwise(0.5)
+    tags = F.array(F.concat(F.lit('"'), "o_orderstatus", F.lit('"')), F.lit(None).cast("string"))
+    return value_rows(t.select("o_orderkey", moment.alias("at"), odd.alias("odd"), tags.alias("tags")), "postgres")
+
+
 @query("sql_statements", "SELECT concat('(', o_orderkey, ', ''', o_orderpriority, ''')') AS row FROM orders")
 def _(spark, sf):
     """The rows inside the statements; a statement of another form stops the job."""

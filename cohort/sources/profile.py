@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 
 from ..catalog import Catalog, Edge, ForeignKey, MorphRelation, SubsetSpec
 from ..common import ref
-from ..operators.links import guess_table
+from ..operators.links import WORD, stands_for
 from ..operators.traverse import measured
 from .scans import distinct_values
 
-#: A type column holds a handful of values; so many are looked at.
+#: A type column holds a handful of values; a report of those that are not mapped shows so many.
 MAX_TYPE_VALUES = 50
 
 # What column names that hold personal data look like.
@@ -118,18 +118,29 @@ def personal_scan(spark: SparkSession, tables: Mapping[str, DataFrame], spec: Su
 def detect_morphs(spark: SparkSession, tables: Mapping[str, DataFrame], catalog: Catalog) -> DataFrame:
     """``(table, type_column, id_column, type_value, guessed_table)``: column pairs X_type and X_id without a foreign key.
 
-    One row a type value (the first ``MAX_TYPE_VALUES``), or one with null for an empty column.
+    One row a type value, however many, or one with null for an empty column.  The names that tables answer to are a small
+    table, which the values' last parts, in snake case, are joined with.
     """
     keys = {(f.table, f.column) for f in catalog.foreign_keys}
-    rows = []
+    pairs, values = [], []
     for name, df in tables.items():
         for c in df.columns:
             base = c.removesuffix("_type")
-            if base == c or f"{base}_id" not in df.columns or (name, f"{base}_id") in keys:
-                continue
-            values = [str(r[0]) for r in distinct_values(df, c, MAX_TYPE_VALUES).collect()]
-            rows += [(name, c, f"{base}_id", v, guess_table(v, list(tables))) for v in values] or [(name, c, f"{base}_id", None, None)]
-    return spark.createDataFrame(rows, "table string, type_column string, id_column string, type_value string, guessed_table string")
+            if base != c and f"{base}_id" in df.columns and (name, f"{base}_id") not in keys:
+                values.append(df.select(F.lit(len(pairs)).alias("pair"), ref(c).cast("string").alias("type_value")).where("type_value IS NOT NULL").distinct())
+                pairs.append((len(pairs), name, c, f"{base}_id"))
+    if not pairs:
+        return spark.createDataFrame([], "table string, type_column string, id_column string, type_value string, guessed_table string")
+    nearest: dict[str, tuple[int, str]] = {}
+    for t in tables:
+        for word, distance in stands_for(t).items():
+            if word not in nearest or distance < nearest[word][0]:
+                nearest[word] = distance, t
+    names = spark.createDataFrame([(w, t) for w, (_, t) in nearest.items() if w], "word string, guessed_table string")
+    part = F.element_at(F.split("type_value", r"[\\/]"), -1)
+    word = F.lower(F.array_join(F.regexp_extract_all(part, F.lit(WORD.pattern), F.lit(0)), "_"))
+    found = spark.createDataFrame(pairs, "pair int, table string, type_column string, id_column string").join(reduce(DataFrame.unionByName, values), "pair", "left")
+    return found.withColumn("word", word).join(F.broadcast(names), "word", "left").select("table", "type_column", "id_column", "type_value", "guessed_table")
 
 
 def unmapped_types(tables: Mapping[str, DataFrame], relations: Sequence[MorphRelation], limit: int = MAX_TYPE_VALUES) -> DataFrame:

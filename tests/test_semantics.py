@@ -330,6 +330,34 @@ def test_json_discovery(spark):
     assert got == {"a.b.c": (["object"], 1, 2), "a": (["string"], 1, 2), "n": (["null", "number"], 2, 2)}
 
 
+def test_json_discovery_keeps_views(spark):
+    spark.range(3).createOrReplaceTempView("cohort_json_level")
+    df = spark.createDataFrame([('{"a":{},"b":{"c":[{"d":1}]}}',), ("{}",), ('{"a":{"x":{"y":1,"z":{"w":2}}}}',)], "j string")
+    got = {r.path: (r.types, r.present_in, r.sampled) for r in discover(df, "j").collect()}
+    assert got == {"b.c": (["array"], 1, 3), "a.x.y": (["number"], 1, 3), "a.x.z": (["object"], 1, 3)}
+    assert spark.table("cohort_json_level").count() == 3
+    plan = discover(df, "j")._jdf.queryExecution().optimizedPlan().toString()
+    assert discover(df.limit(0), "j").count() == 0 and "Generate variant_explode" in plan
+
+
+def test_overlay_of_odd_values(spark):
+    deep = "[" * 50_000 + "]" * 50_000
+    texts = ['{"a":' + deep + "}", '{"a":1,"t":"\\ud800"}', '{"a":"x","n":[1.50,1e2,-0,12345678901234567890123,0.1]}', '{"a":null}', "", None, '{"a":{"b":1.0}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, j string")
+    s = Strategy("template", bindings=(Binding("a", "redact"),))
+    got = [r.j for r in anonymize(df, "t", "id", strategies(("j", s)), NOW).orderBy("id").collect()]
+    assert got[0] == texts[0] and got[1] == '{"a":null,"t":"\\ud800"}'
+    assert got[2] == '{"a":null,"n":[1.50,1e2,-0,12345678901234567890123,0.1]}' and got[3:] == ['{"a":null}', "", None, '{"a":null}']
+
+
+def test_policies_that_the_data_bear_out(spark):
+    tables, catalog = world(spark)
+    spec = SubsetSpec(rules=(Rule("users"),), policies={("posts", "user_id"): "null", ("posts", "editor_id"): "null"})
+    loose = Catalog(catalog.tables, tuple(ForeignKey(f.table, f.column, f.parent, f.parent_column, True) for f in catalog.foreign_keys))
+    out = subset(tables, loose, spec, NOW, measure=True)
+    assert any("holds no null" in w or "not there" in w for w in out.warnings)
+
+
 def test_literals(spark):
     df = spark.createDataFrame([("it's \\ \n", float("nan"), True, b"\x01\xff", ["a\"b", None], None)], "s string, d double, b boolean, x binary, l array<string>, n int")
     r = {d: list(df.select(*[literal(F.col(f.name), f.dataType, d) for f in df.schema]).collect()[0]) for d in ("mysql", "postgres", "sqlite")}
