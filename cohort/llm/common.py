@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import shared_folder
+
 #: White space of all word counts and shingles: a word is a run of anything else.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -35,12 +36,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is named (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohort-checkpoint-"))
-    return named or sc.getCheckpointDir()
+    """The shared folder of the cluster; a folder of our own only where none is named, in local mode."""
+    return shared_folder(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ from .common import checkpointed, ref
 from .components import connected_components
 
 THRESHOLD = 0.93
+#: Cosines nearer to the threshold than this are computed pair by pair.
+EDGE = 1e-9
 TARGET_RECALL = 0.98
 #: Codebooks are fitted on so many vectors, the first by a hash of their values.
 FIT_ROWS = 20_000
@@ -117,14 +119,15 @@ def near_duplicates(
     """``(id, n_links, component_id, kept)`` for every row.
 
     Links join rows of equal label whose cosine is at least ``threshold``; every reported link is exact.  Rows with a
-    null label or a vector that is null, empty, zero or not finite link with nothing.  Vectors of different
+    null label or a vector that is null, empty, zero or not finite link with nothing.  Extra columns are ignored, ties have no
+    order to break.  Vectors of different
     length do not link; each length has jobs of its own.  Repeated rows count as rows of their own; null ids link, but name no component.  An empty table
     gives an empty result.
     """
     spark = vectors.sparkSession
     keyed = _classes(vectors, id_col, vector_col, label_col).withColumn("dim", F.size("v"))
-    # a class is named by a hash of its content; equal hashes of different vectors would need 2^32 classes to be likely
-    classes = checkpointed(keyed.withColumn("cls", F.xxhash64("label", "v")))
+    # numbers, not hashes: no two classes share a name, however many there are; the checkpoint keeps them as they are
+    classes = checkpointed(keyed.withColumn("cls", F.monotonically_increasing_id()))
     shapes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).orderBy("dim").collect()
     found = [_links_of_width(classes.where(F.col("dim") == s.dim), s.n, s.labels, threshold, target_recall) for s in shapes if s.n > 1]
     nothing = spark.createDataFrame([], "cls long, links long, root long")
@@ -156,7 +159,7 @@ def near_duplicates(
 def _links_of_width(classes: DataFrame, n: int, labels: int, threshold: float, target: float) -> DataFrame:
     """Links among classes of one vector length: ``(cls, links, root)`` rows, to be summed by class."""
     spark = classes.sparkSession
-    sample = unit_rows(r.v for r in classes.select("cls", "v").orderBy("cls").limit(FIT_ROWS).collect())
+    sample = unit_rows(r.v for r in classes.select("cls", "v", F.xxhash64("label", "v").alias("h")).orderBy("h", "cls").limit(FIT_ROWS).collect())
     half = max(1, sample.shape[1] // 2)
     k = int(min(MAX_CODEWORDS, max(2, math.ceil(math.sqrt(n / max(1, labels) / CELL_ROWS)))))
     books = [codebook(sample[:, :half], k), codebook(sample[:, half:], k)] if sample.shape[1] > 1 else [codebook(sample, k), np.zeros((1, 0))]
@@ -187,7 +190,11 @@ def _links_of_width(classes: DataFrame, n: int, labels: int, threshold: float, t
         a, b = group[group["side"] == 0], group[group["side"] == 1]
         x, y = (np.frombuffer(b"".join(s["v"]), dtype=np.float64).reshape(len(s), -1) for s in (a, b))
         ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-        near = (x @ y.T >= threshold) & (ia[:, None] != ib[None, :])
+        score = x @ y.T
+        # a matrix product's last bits depend on its shape; pairs at the threshold are scored alone, the same way in every block
+        i, j = np.nonzero(np.abs(score - threshold) < EDGE)
+        score[i, j] = (x[i] * y[j]).sum(axis=1)
+        near = (score >= threshold) & (ia[:, None] != ib[None, :])
         if not near.any():
             return pd.DataFrame({"cls": [], "links": [], "root": []}).astype("int64")
         links_a = near @ b["n"].to_numpy()

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,8 @@ from .common import checkpointed, fresh, ref
 
 LOCAL_RULES = 50_000
 TOKEN = re.compile("[0-9a-z]+")
+#: Only A-Z have small letters here, as in patterns and hosts: other letters that Unicode lower-cases into a-z are none of theirs.
+_LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
 
 
 @dataclass(frozen=True)
@@ -42,9 +45,11 @@ def host_rule(verdict: str, text: str) -> Rule:
     host, slash, path = text.partition("/")
     if not host or not slash:
         raise ValueError(f"not host/path: {text!r}")
-    host = host.lower()
+    host = host.translate(_LOWER)
     pattern = r"^://(?:[^/?#]*\.)?" + re.escape(host) + re.escape(slash + path)
-    return Rule(text, verdict, pattern, tuple(TOKEN.findall(host.lower())), len(text))
+    # a token at the path's end may go on in the URL, so it is none of the URL's tokens for sure
+    closed = [m[0] for m in TOKEN.finditer(path.translate(_LOWER)) if m.end() < len(path)]
+    return Rule(text, verdict, pattern, tuple(dict.fromkeys(TOKEN.findall(host) + closed)), len(text))
 
 
 def keyword_rule(verdict: str, *words: str) -> Rule:
@@ -68,13 +73,13 @@ def split_url(url: str | None) -> tuple[str, str, str]:
         return "", "", ""
     rest = url[at + 3 :]
     cut = min((i for i in (rest.find("/"), rest.find("?"), rest.find("#")) if i >= 0), default=len(rest))
-    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+    host = rest[:cut].translate(_LOWER)
     end = min((i for i in (rest.find("?", cut), rest.find("#", cut)) if i >= 0), default=len(rest))
     return host, rest[cut:end], "://" + host + rest[cut:end]
 
 
 def url_tokens(host_and_path: str) -> set[str]:
-    return set(TOKEN.findall(host_and_path.lower()))
+    return set(TOKEN.findall(host_and_path.translate(_LOWER)))
 
 
 def best(rules: Iterable[tuple], url: str):
@@ -91,7 +96,7 @@ def token_counts(urls: DataFrame, rules: list[Rule]) -> dict[str, int]:
         return {}
     known = spark.createDataFrame([(t,) for t in literals], "token string")
     # counted before the join: of a token that stands in most URLs, each task hands on one row
-    seen = urls.select(F.explode(F.array_distinct(F.split(F.lower("url"), "[^0-9a-z]+"))).alias("token"))
+    seen = urls.select(F.explode(F.array_distinct(F.split(F.translate("url", ascii_uppercase, ascii_lowercase), "[^0-9a-z]+"))).alias("token"))
     counts = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return {r.token: r.n for r in counts.join(known, "token", "left_semi").collect()}
 
@@ -110,8 +115,9 @@ JUDGED = "host string, path string, rule string, verdict string"
 def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: str = DEFAULT, local_rules: int = LOCAL_RULES) -> DataFrame:
     """``pages`` plus ``host, path, rule, verdict``; of several rules that fit, the longest wins.
 
-    A null URL, or one without ``://``, has an empty host and path, no rule, and the default verdict.  Every input row
-    gives one output row; input columns called host, path, rule or verdict are replaced.
+    A null URL, or one without ``://``, has an empty host and path, no rule, and the default verdict.  Every input row, repeated
+    or not, gives one output row; an empty table none; URLs of any length are judged whole.  Input columns called host, path, rule or
+    verdict are replaced, others stay.
     """
     spark = pages.sparkSession
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict") or c == url_col]

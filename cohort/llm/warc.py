@@ -93,31 +93,39 @@ def _verified(spark: SparkSession, path: str) -> DataFrame:
     return stored.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.lit("stored payload does not match its digest"))))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, target_uri, record_type, refers_to, payload_bytes, payload_digest`` of every record.
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """``record_id, header, payload, record``: the full payload of every record, and the record's exact WARC bytes.
 
-    Types and references come from the stored headers, length and digest from the stored payload bytes, which
-    are checked against the header; payloads themselves are not moved.
+    Each record's header meets the stored payload it was written with, which is checked against its digest; a revisit's own block
+    is empty, and its payload that of the response.  Records without id, repeated records and empty archives come back as written.
     """
-    facts = _verified(spark, path).select(
-        "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")
-    )
-    records = spark.read.parquet(f"{path}/records").select("record_id", "header", "digest")
-    joined = records.join(facts, "digest")
-    agrees = _field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))
-    return joined.select(
+    joined = spark.read.parquet(f"{path}/records").join(_verified(spark, path), "digest")
+    block = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    record = F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n"))
+    return joined.select("record_id", "header", "payload", record.alias("record"))
+
+
+def describe_records(records: DataFrame) -> DataFrame:
+    """``page_id, target_uri, record_type, refers_to, payload_bytes, payload_digest`` of rebuilt records.
+
+    Types and references are read from the record's own bytes, length and digest computed from its full payload; a record whose
+    header names another payload, or whose block has not the length that it says, stops the job.
+    """
+    # the header ends at the first empty line; bytes that are no UTF-8 can only stand behind it
+    cut = F.instr(F.decode(F.col("record"), "ISO-8859-1"), "\r\n\r\n")
+    own = records.withColumn("header", F.decode(F.substring("record", F.lit(1), cut + 3), "UTF-8")).withColumn("block", F.octet_length("record") - cut - 3 - 4)
+    digest = base32_sha1(F.col("payload"))
+    agrees = (_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), digest)) & (_field("Content-Length").cast("long") == F.col("block"))
+    return own.select(
         F.regexp_extract("header", r"\r\nWARC-Record-ID: <urn:page:(-?\d+)>", 1).try_cast("long").alias("page_id"),
         _field("WARC-Target-URI").alias("target_uri"),
         _field("WARC-Type").alias("record_type"),
         F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"),
-        "payload_bytes",
-        F.when(agrees, F.col("payload_digest")).otherwise(F.raise_error(F.lit("record header names another payload"))).alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.when(agrees, digest).otherwise(F.raise_error(F.lit("a record's header does not describe its payload"))).alias("payload_digest"),
     )
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """``record_id, header, payload, record``: the full payload of every record, and the record's exact WARC bytes."""
-    joined = spark.read.parquet(f"{path}/records").join(_verified(spark, path), "digest")
-    block = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    record = F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n"))
-    return joined.select("record_id", "header", "payload", record.alias("record"))
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """What ``describe_records`` says of every record of an archive, rebuilt."""
+    return describe_records(read_records(spark, path))

@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and gives a DataFrame, which the runner writes as Parquet and reads again as the
 next stage's ``docs``.  All stages but the last keep the columns of ``documents``.
+
+In every stage, null and empty texts are texts without words (kept, clean, without secrets or tokens), texts of any length are read
+whole, rows that repeat are rows of their own but where one of a group stays, other columns stay whatever their names, and an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -16,7 +20,10 @@ from cohort.llm.registry import PIECES
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score is below the threshold; the model learns from all labels of these rows."""
+    """Rows whose toxicity score is below the threshold; the model learns from all labels of these rows.
+
+    Without labels of both kinds the lexicon alone scores (all labels toxic: every row goes).  Equal texts stay or go together.
+    """
     prepare(spark)
     (score,) = fresh(docs, "score_")
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -24,25 +31,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest doc_id."""
+    """One row of each group of near-duplicates: that with the smallest doc_id, and of rows that repeat with it, one.
+
+    Texts without words are near-duplicates of each other.  A null doc_id stays only where its group has no other.
+    """
     prepare(spark)
     return simhash.keep_one_per_component(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with their secrets masked; every row stays."""
+    """Texts with their secrets masked; every row stays, and null texts stay null."""
     prepare(spark)
     return secret_scan.redact_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated or left out so that each source comes near its target of words."""
+    """Rows repeated or left out so that each source comes near its target of words; a null source is one of them."""
     prepare(spark)
     return mixing.mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row."""
+    """Token ids of every row; none for null and empty texts."""
     prepare(spark)
     return pieces.encode_documents(docs, PIECES)
 

@@ -1,3 +1,4 @@
+import re
 import pytest
 
 from cohort.llm import url_filter as u
@@ -59,3 +60,28 @@ def test_empty(spark):
         assert u.judge_urls(df, URL_RULES, local_rules=local).count() == 0
     with pytest.raises(ValueError):
         u.host_rule("block", "nohost")
+
+
+def test_index_has_the_path(spark):
+    """Rules of one host are told apart by their path's literals, where these end inside the rule."""
+    rules = [u.host_rule("block", t) for t in ("net/es/", "net/fr/", "net/en", "net/a-b/c/d")]
+    assert [r.tokens for r in rules] == [("net", "es"), ("net", "fr"), ("net",), ("net", "a", "b", "c")]
+    urls = spark.createDataFrame([(f"http://x{i}.net/" + ("es/" if i % 9 == 0 else ""),) for i in range(90)], "url string")
+    index = u.build_index(rules[:2], u.token_counts(urls, rules))
+    assert set(index) == {"es", "fr"}
+    got = {r.url: r.verdict for r in u.judge_urls(urls, rules).collect()}
+    assert all((v == "block") == ("/es/" in url) for url, v in got.items())
+
+
+@pytest.mark.parametrize("local", [u.LOCAL_RULES, 0])
+def test_only_ascii_letters_have_small_ones(spark, local):
+    """The Kelvin sign and the dotted capital I are lower-cased into ASCII by Unicode, but are no letters of the rules."""
+    urls = ["http://\u212aasino.org/", "http://x\u212acasino.org/", "http://CASINO.org/", "http://\u0130casino.org/", "http://EXAMPLE.com/EN/", "http://example.com/en/"]
+    rules = [u.host_rule("block", "example.com/en/"), *u.KEYWORDS]
+    df = spark.createDataFrame([(x,) for x in urls], "url string")
+    got = {r.url: r.verdict for r in u.judge_urls(df, rules, local_rules=local).collect()}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for url in urls:
+        host, _, path = url[7:].partition("/")
+        blocked = (host.translate(low) == "example.com" and path.startswith("en/")) or re.search("(^|[^0-9a-z])casino($|[^0-9a-z])", host.translate(low))
+        assert (got[url] == "block") == bool(blocked), url
