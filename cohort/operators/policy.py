@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import Catalog, Edge, SubsetSpec
+from ..catalog import Catalog, Edge, ForeignKey, SubsetSpec
 from ..common import as_type, column_type, fresh, ref
 from .select import Kept
 from .traverse import measured
@@ -17,26 +17,22 @@ from .traverse import measured
 MIN_INCLUDED = 0.9
 
 
-def check_policies(catalog: Catalog, spec: SubsetSpec) -> tuple[dict[tuple[str, str], str], list[str]]:
-    """The ``null`` policies that hold, and why others do not.
+#: What a ``null`` policy needs of the foreign keys on its column, and what is said where it is missing.
+NEEDS: tuple[tuple[str, Callable[[list[ForeignKey], Catalog], bool]], ...] = (
+    ("refers to no table", lambda fks, _: bool(fks)),
+    ("is not declared nullable", lambda fks, _: all(f.nullable for f in fks)),
+    ("refers to another column than a primary key", lambda fks, catalog: all(f.parent_column == catalog.key(f.parent) for f in fks)),
+)
 
-    A column may be nulled if it is a foreign key, surely nullable, and every constraint on it refers to a primary key;
-    otherwise its references are followed as usual.
-    """
-    good, warnings = {}, []
-    for (table, column), policy in spec.policies.items():
-        if policy != "null" or spec.class_of(table) == "excluded":
-            continue
-        label, fks = f"{table}.{column}", [f for f in catalog.foreign_keys if (f.table, f.column) == (table, column)]
-        if not fks:
-            warnings.append(f"{label} has a policy but is no foreign key")
-        elif not all(f.nullable for f in fks):
-            warnings.append(f"{label} cannot be null: followed as usual")
-        elif any(f.parent_column != catalog.key(f.parent) for f in fks):
-            warnings.append(f"{label} does not refer to a primary key: followed as usual")
-        else:
-            good[table, column] = "null"
-    return good, warnings
+
+def check_policies(catalog: Catalog, spec: SubsetSpec) -> tuple[dict[tuple[str, str], str], list[str]]:
+    """The ``null`` policies that the catalog allows, and why references of others are followed as usual."""
+    on: dict[tuple[str, str], list[ForeignKey]] = {at: [] for at, policy in spec.policies.items() if policy == "null" and spec.class_of(at[0]) != "excluded"}
+    for f in catalog.foreign_keys:
+        if (f.table, f.column) in on:
+            on[f.table, f.column].append(f)
+    missing = {at: [said for said, holds in NEEDS if not holds(fks, catalog)] for at, fks in on.items()}
+    return {at: "null" for at in on if not missing[at]}, [f"{'.'.join(at)} {said[0]}, so it is followed as usual" for at, said in missing.items() if said]
 
 
 def measured_policies(tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpec) -> DataFrame:

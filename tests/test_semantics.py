@@ -151,7 +151,7 @@ def test_links(spark):
     catalog = Catalog({"users": USERS, "roles": Table("roles", ("id",)), "role_user": Table("role_user", ("role_id", "user_id"))})
     spec = SubsetSpec({"roles": "reference"}, (Rule("users", (Condition("id", "eq", 1),)),))
     links, warnings = detect_links(catalog, spec)
-    assert links[0].inferred == (("role_id", "roles"), ("user_id", "users")) and len(warnings) == 1
+    assert links[0].inferred == (("role_id", "roles"), ("user_id", "users")) and len(warnings) == 2
     pivot = spark.createDataFrame([("1", 5), ("2", 5)], "user_id string, role_id long")
     kept, _ = seed_rows({"users": world(spark)[0]["users"]}, catalog, spec, NOW)
     rows, _ = link_rows(links[0], pivot, kept, catalog, spec)
