@@ -900,6 +900,55 @@ def _(spark, sf):
     return subset(read(spark, sf), CATALOG, FULL, NOW).largest_first()
 
 
+# ---- guards and warnings ----------------------------------------------------------------------------------------------
+
+KEEP_ALL = SubsetSpec({"lineitem": "excluded", "events": "excluded"}, (Rule("customer"), NEWEST))
+
+
+@query("keep_all", f"SELECT 'customer' AS \"table\", CAST(c_custkey AS VARCHAR) AS pk FROM customer UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM orders UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
+def _(spark, sf):
+    """A table of which a rule keeps every row brings its children, and asks for its parents, but is not asked itself."""
+    t = read(spark, sf, "customer", "orders", "nation")
+    return kept_table(select_rows(t, CATALOG, KEEP_ALL, NOW)[0]).select("table", "pk")
+
+
+@query("backfill_warnings", f"""
+    SELECT 'orders.o_custkey: customer is not in the output, so these references dangle' AS warning WHERE EXISTS (SELECT 1 FROM {NEWEST_SQL} WHERE o_custkey IS NOT NULL)
+    UNION ALL SELECT 'orders.nation: nation is not referred to by its primary key: not backfilled' WHERE EXISTS (SELECT 1 FROM {NEWEST_SQL} WHERE o_custkey IS NOT NULL)
+""")
+def _(spark, sf):
+    """References into a table that is left out, and to a column that is no primary key."""
+    t = read(spark, sf, "orders", "customer", "nation")
+    t["orders"] = t["orders"].withColumn("nation", F.concat(F.lit("N"), F.col("o_custkey") % 25))
+    fks = (ForeignKey("orders", "o_custkey", "customer", "c_custkey"), ForeignKey("orders", "nation", "nation", "n_name"))
+    spec = SubsetSpec({"customer": "excluded"}, (NEWEST,))
+    report = _backfilled(t, spec, Catalog({n: CATALOG.tables[n] for n in t}, fks))[1]
+    return spark.createDataFrame([(w,) for w in report.warnings], "warning string")
+
+
+@query("sql_rows_generated", f"SELECT concat('(', c_custkey, ', ', coalesce('''' || nick || '''', 'NULL'), ')') AS row FROM {C}")
+def _(spark, sf):
+    t = read(spark, sf, "customer")["customer"].select("c_custkey", "email", "nick", "balance")
+    return value_rows(t, "sqlite", ("email", "balance"))
+
+
+MIXED_JSON = "CASE event_id % 4 WHEN 0 THEN '[1,2.50]' WHEN 1 THEN 'not json' WHEN 2 THEN NULL ELSE concat('{\"a\":', event_id, ',\"b\":1.50}') END"
+
+
+@query("anon_template_non_objects", f"SELECT event_id, CASE WHEN event_id % 4 = 3 THEN '{{\"a\":null,\"b\":1.50}}' ELSE {MIXED_JSON} END AS doc FROM events")
+def _(spark, sf):
+    t = read(spark, sf, "events")["events"].select("event_id", F.expr(MIXED_JSON).alias("doc"))
+    redact = Strategy("template", bindings=(Binding("a", "redact"),))
+    return anonymize(t, "events", "event_id", [FieldStrategy("events", "doc", redact)], NOW)
+
+
+@query("pred_instant_text", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1996-02-29 00:00:00'")
+def _(spark, sf):
+    """Instants kept as text, against a constant with another spelling of the same."""
+    t = read(spark, sf, "orders")["orders"].withColumn("day", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00.000Z")))
+    return matching(t, Rule("orders", (Condition("day", "gt", "1996-02-29 00:00:00"),)), "o_orderkey", NOW).select("o_orderkey")
+
+
 @query("kept_rows", CASCADE_SQL)
 def _(spark, sf):
     t = read(spark, sf, "customer", "orders", "events")
