@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,7 +49,12 @@ BUCKET_ROWS = 1_000_000
 
 
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Write ``df`` to the shared folder in buckets of ``key`` and read it again.
+    """``bucketed_and_counted`` without the count."""
+    return bucketed_and_counted(df, key, buckets)[0]
+
+
+def bucketed_and_counted(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, int]:
+    """Write ``df`` to the shared folder in buckets of ``key`` and read it again; and the rows that the write has counted.
 
     As after ``materialize``, the rows are fixed and outlive executors.  Joins and aggregates on the key need no shuffle of
     them, and the planner knows their size, so it broadcasts them where they are small.  The name in the catalog, without which
@@ -61,11 +66,12 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     spark, name = df.sparkSession, f"cohort_{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     table = f"spark_catalog.default.{name}"
-    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(table)
+    seen = Observation(name)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(table)
     out = spark.table(table)
     out.schema  # resolved, so it does not need the name any more
     spark.sql(f"DROP TABLE {table}")
-    return out
+    return out, seen.get["rows"]
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:

@@ -151,9 +151,8 @@ def keep_apart(df: DataFrame, key: str, flag: Column, value) -> tuple[DataFrame,
     """
     rows = df.where(flag)
     plain = rows.select(ref(key).alias("pk"), value(F.lit(0)).cast("string").alias("value")).where("pk IS NOT NULL")
-    ranked = materialize(numbered(plain, ["value"], ["pk"], "rank"))
-    buckets = -(-ranked.count() // BUCKET_ROWS) or 1
-    ranked = bucketed(ranked, "value", buckets)
+    buckets = -(-rows.count() // BUCKET_ROWS) or 1
+    ranked = bucketed(numbered(plain, ["value"], ["pk"], "rank"), "value", buckets)
     done = [ranked.where("rank = 0").select("pk", "value")]
     turn, start = fresh(rows, "turn_", "start_")
     late = ranked.where("rank > 0").select(F.col("pk").alias(start + "pk"), ((F.col("rank") - 1) % SALTS).alias(start))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, Edge, SubsetSpec
-from ..common import as_type, bucketed, column_type, fresh, key_text, own_identity, ref
+from ..common import as_type, bucketed_and_counted, column_type, fresh, key_text, own_identity, ref
 from .select import Kept
 
 KEPT = "pk", "anonymize", "identity"
@@ -96,14 +96,12 @@ class DeltaLog:
         other = last.select("pk", F.col("anonymize").alias("flag_"), F.col("identity").alias("name_"))
         flag = F.coalesce("anonymize", F.lit(True)) & F.coalesce("flag_", F.lit(True))
         both = first.select(*KEPT).join(other, "pk", "full").select("pk", flag.alias("anonymize"), F.coalesce("identity", "name_").alias("identity"))
-        both = bucketed(both, "pk", self.buckets)
-        self.levels[-2:] = [(both, n := both.count())]
-        self.written += n
+        self.levels[-2:] = [bucketed_and_counted(both, "pk", self.buckets)]
+        self.written += self.levels[-1][1]
 
     def append(self, delta: DataFrame) -> DataFrame | None:
         """Write a delta, which may have more columns; gives it back as written, None if it is empty."""
-        delta = bucketed(delta, "pk", self.buckets)
-        n = delta.count()
+        delta, n = bucketed_and_counted(delta, "pk", self.buckets)
         if not n:
             return None
         self.levels.append((delta, n))
@@ -262,7 +260,7 @@ def _plain_references(edge: Edge, child: DataFrame, key: str | None, rows: DataF
 
 
 def measured(edges: Sequence[Edge], tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> DataFrame:
-    """``(edge, parent, refs, nulls, distinct_refs, orphans, rows_dangling)`` of each edge, in their order of ``edges``.
+    """``(edge, parent, refs, nulls, distinct_refs, orphans, rows_dangling)`` of each edge.
 
     ``refs`` and ``nulls`` count rows with and without a reference, ``orphans`` distinct references without a row, and
     ``rows_dangling`` the rows that hold them.  A child table is scanned once, its references stacked to (edge, text); all distinct
@@ -291,7 +289,7 @@ def measured(edges: Sequence[Edge], tables: Mapping[str, DataFrame], keys: Mappi
     )
     named = met.sparkSession.createDataFrame([(i, e.label, e.parent) for i, e in enumerate(edges)], "i int, edge string, parent string")
     zero = F.lit(0).cast("long")
-    return named.join(counts, "i", "left").orderBy("i").select(
+    return named.join(counts, "i", "left").select(
         "edge", "parent", *[F.coalesce(c, zero).alias(c) for c in ("refs", "nulls", "distinct_refs", "orphans", "rows_dangling")]
     )
 
