@@ -30,6 +30,7 @@ from .operators.select import Kept, flag_rules, preview, rule_rows, seed_rows
 from .operators.traverse import backfill, cascade, edges_of, orphans
 from .plans.subset import nulled_counts, select_rows, subset
 from .sources import profile
+from .sources.inclusion import discover_references
 from .sources.scans import distinct_values, sample_values
 from .sources.sinks import insert_statements, sequence_state, value_rows
 
@@ -778,6 +779,26 @@ def _(spark, sf):
     return measured_policies(t, catalog, spec)
 
 
+REFERENCE_COLUMNS = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"),
+    "orders": ("o_orderkey", "o_custkey"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey"), "events": ("event_id", "user_id"),
+}
+
+
+@query("references_discovered", f"""
+    WITH v AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {c}::VARCHAR AS v, typeof({c}) = 'VARCHAR' AS is_text FROM {t}" for t, cs in REFERENCE_COLUMNS.items() for c in cs)}),
+    d AS (SELECT t, c, is_text, v, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL),
+    s AS (SELECT t, c, count(v) AS refs, count(*) - count(v) AS nulls, count(DISTINCT v) AS distinct_refs, count(DISTINCT v) = count(*) AS is_key FROM v GROUP BY ALL),
+    met AS (SELECT a.t, a.c, b.t AS pt, b.c AS pc, count(*) AS there FROM d a JOIN d b ON a.v = b.v AND a.is_text = b.is_text AND (a.t, a.c) <> (b.t, b.c) GROUP BY ALL)
+    SELECT met.t AS "table", met.c AS "column", pt AS parent, pc AS parent_column, a.refs, a.distinct_refs, a.nulls, split_part(met.c, '_', 2) = split_part(pc, '_', 2) AND split_part(pc, '_', 2) <> 'id' AS by_name
+    FROM met JOIN s a ON a.t = met.t AND a.c = met.c JOIN s b ON b.t = pt AND b.c = pc AND b.is_key WHERE there = a.distinct_refs
+""")
+def _(spark, sf):
+    """Nothing declared; every inclusion in a key among the columns of six tables."""
+    plain = read(spark, sf, *REFERENCE_COLUMNS)
+    return discover_references({t: plain[t].select(*cs) for t, cs in REFERENCE_COLUMNS.items()})
+
+
 @query("integrity_audit", f"SELECT 'orders.broken' AS edge, count(*) AS rows_dangling, count(DISTINCT broken) AS orphans FROM {O} WHERE broken NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lineitem.l_orderkey', 0, 0")
 def _(spark, sf):
     t = read(spark, sf, "orders", "customer", "lineitem")

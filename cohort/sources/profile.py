@@ -71,10 +71,13 @@ def edge_facts(tables: Mapping[str, DataFrame], edges: Sequence[ForeignKey]) ->
 def edge_summary(tables: Mapping[str, DataFrame], catalog: Catalog, spec: SubsetSpec) -> DataFrame:
     """``(target, edges, always_followed, turned_off, refs)`` by target table, most-linked first."""
     rows = []
-    for f in catalog.foreign_keys:
-        off = spec.policies.get((f.table, f.column)) == "null"
-        n = tables[f.table].agg(F.count(ref(f.column)).alias("refs"))
-        rows.append(n.select(F.lit(f.parent).alias("target"), F.lit(off).alias("off"), F.lit(f.nullable).alias("nullable"), "refs"))
+    for name in dict.fromkeys(f.table for f in catalog.foreign_keys):
+        # one scan a table for all its references
+        facts = [
+            F.struct(F.lit(f.parent).alias("target"), F.lit(spec.policies.get((name, f.column)) == "null").alias("off"), F.lit(f.nullable).alias("nullable"), F.count(ref(f.column)).alias("refs"))
+            for f in catalog.foreign_keys if f.table == name
+        ]
+        rows.append(tables[name].agg(F.array(*facts).alias("facts")).select(F.explode("facts").alias("f")).select("f.*"))
     found = reduce(DataFrame.unionByName, rows)
     return (
         found.groupBy("target")
